@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.llm import bitsliced, decontaminate, mixing, warc
+from chronolith.llm.bitsliced import op8_topk_search
+from chronolith.llm.decontaminate import op5_decontamination
 from chronolith.llm.langid import op9_language_id
+from chronolith.llm.mixing import op2_source_mix
 from chronolith.llm.tokens import op1_token_counts
+from chronolith.llm.warc import op3_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_source_mix": op2_source_mix,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op5_decontamination": op5_decontamination,
+    "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_source_mix": mixing.ORACLE,
+    "op3_warc_revisits": warc.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+    "op8_topk_search": bitsliced.ORACLE,
+}

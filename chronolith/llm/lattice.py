@@ -218,6 +218,20 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(words: DataFrame) -> DataFrame:
+    """The most frequent words, at most FREQUENT of them: all from a count that a histogram of counts gives, so that no
+    task sends more than its share of them."""
+    short = words.where(F.length("word") <= FREQUENT_CHARS)
+    step = F.floor(F.log("c") * 64).cast("int")
+    least, held = None, 0
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # at most 64 for each power of e
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        least = r["step"]
+    return short.where(F.lit(False) if least is None else step >= least)
+
+
 @dataclass
 class Scorer:
     """What the workers need: the piece model, counts and scores of frequent words, and the totals."""
@@ -301,7 +315,7 @@ def lm_scores(docs: DataFrame, training: DataFrame, vocabulary: str = "piece_bpe
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     model = reestimate(load_vocabulary(vocabulary), words, ends, rounds)
-    top = words.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # bounded
+    top = frequent_words(words).collect()  # bounded
     logs = model.word_scores([r["word"] for r in top]) / math.log(10)
     frequent = {r["word"]: (math.log10(r["c"] + 1), float(s)) for r, s in zip(top, logs, strict=True)}
     sent = spark.sparkContext.broadcast(Scorer(model, frequent, math.log10(total + distinct + 1), ends))

@@ -13,6 +13,7 @@ from chronolith.llm.langid import op9_language_id
 from chronolith.llm.lattice import op10_lm_scores
 from chronolith.llm.mixing import op2_source_mix
 from chronolith.llm.tokens import op1_token_counts
+from chronolith.llm.toxicity import op6_toxicity
 from chronolith.llm.warc import op3_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_warc_revisits": op3_warc_revisits,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_lm_scores": op10_lm_scores,

@@ -10,6 +10,7 @@ from chronolith.llm import bitsliced, decontaminate, mixing, warc
 from chronolith.llm.bitsliced import op8_topk_search
 from chronolith.llm.decontaminate import op5_decontamination
 from chronolith.llm.langid import op9_language_id
+from chronolith.llm.jaccard import op7_ngram_jaccard_join
 from chronolith.llm.lattice import op10_lm_scores
 from chronolith.llm.mixing import op2_source_mix
 from chronolith.llm.tokens import op1_token_counts
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_revisits": op3_warc_revisits,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_topk_search": op8_topk_search,
     "op9_language_id": op9_language_id,
     "op10_lm_scores": op10_lm_scores,

@@ -76,7 +76,7 @@ def find_windows(docs: DataFrame, anchors: DataFrame, hint) -> DataFrame:
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
+    """One row per document: id, mark (a hash of the text), n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     windows = stored(item_windows(items, item_col, item_text_col, window), "windows")
     weight = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 64)).first()[0] or 0
     hint = F.broadcast if weight <= SMALL else (lambda df: df)
@@ -100,7 +100,7 @@ def contamination(
     joined = base.join(found, (F.col("mark") == F.col("hit_mark")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
-    return joined.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return joined.select(F.col("id").alias(id_col), "mark", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

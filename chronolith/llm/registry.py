@@ -13,6 +13,7 @@ from chronolith.llm.langid import op9_language_id
 from chronolith.llm.jaccard import op7_ngram_jaccard_join
 from chronolith.llm.lattice import op10_lm_scores
 from chronolith.llm.mixing import op2_source_mix
+from chronolith.llm.template import op4_main_text
 from chronolith.llm.tokens import op1_token_counts
 from chronolith.llm.toxicity import op6_toxicity
 from chronolith.llm.warc import op3_warc_revisits
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mix": op2_source_mix,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_main_text": op4_main_text,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of a text in any case
+WORD = r"[a-z0-9A-Z\x80-\x{10FFFF}]+"  # the letters that are met most come first: the class is tested in this order
 WINDOW = 10
 SMALL = 32 << 20  # bytes of a benchmark's windows up to which they are broadcast; beyond, they are shuffled
 
@@ -30,19 +30,14 @@ def lower_ascii(text: str | Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def folded(text: Column) -> Column:
-    """All letters in lower case, each by itself. Texts that agree up to A-Z agree up to this too, and it is much
-    faster than to spare the letters beyond A-Z; what that adds is removed at the end."""
-    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+def words_of(text: str | Column) -> Column:
+    col = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(lower_ascii(F.coalesce(col, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """item_id, window (array of words), and wid, the same for equal windows."""
-    worded = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words_of(lower_ascii(text_col)).alias("w")).where(F.size("w") > 0)
+    worded = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words_of(text_col).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     return worded.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window")).withColumn("wid", F.md5(F.concat_ws(" ", "window").cast("binary")))
 
@@ -52,25 +47,22 @@ def anchored(windows: DataFrame, docs: DataFrame, hint) -> DataFrame:
 
     The words of the benchmark are counted over all documents.
     """
-    distinct = windows.select("wid", "window").dropDuplicates(["wid"]).withColumn("folded", F.transform("window", folded))
-    placed = distinct.select("wid", "window", "folded", F.posexplode("folded").alias("at", "word"))
+    distinct = windows.select("wid", "window").dropDuplicates(["wid"])
+    placed = distinct.select("wid", "window", F.posexplode("window").alias("at", "word"))
     vocabulary = stored(placed.select("word").distinct(), "vocabulary")
     seen = docs.select(F.explode("words").alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     by_rarity = F.sort_array(F.collect_list(F.struct("n", "word", "at")))  # of the words of one window
-    ranked = placed.join(seen, "word").groupBy("wid").agg(F.first("window").alias("window"), F.first("folded").alias("folded"), by_rarity.alias("r")).where(F.size("r") == F.size("window"))
+    ranked = placed.join(seen, "word").groupBy("wid").agg(F.first("window").alias("window"), by_rarity.alias("r")).where(F.size("r") == F.size("window"))
     second = F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
-    return ranked.select("wid", "window", "folded", F.size("window").alias("len"), F.col("r")[0]["word"].alias("rarest"), F.col("r")[0]["at"].alias("rarest_at"), second["word"].alias("next"), second["at"].alias("next_at"))
+    return ranked.select("wid", "window", F.size("window").alias("len"), F.col("r")[0]["word"].alias("rarest"), F.col("r")[0]["at"].alias("rarest_at"), second["word"].alias("next"), second["at"].alias("next_at"))
 
 
 def find_windows(docs: DataFrame, anchors: DataFrame, hint) -> DataFrame:
     """id, mark, start, len and wid of every occurrence of a window; docs has id, mark and words."""
     start = F.col("at") - F.col("rarest_at")
     near = (start >= 0) & (start + F.col("len") <= F.size("words")) & (F.get("words", start + F.col("next_at")) == F.col("next"))
-    met = docs.select("id", "mark", "text", "words", F.posexplode("words").alias("at", "word")).join(hint(anchors), (F.col("word") == F.col("rarest")) & near)
-    begin = F.greatest(start + 1, F.lit(1))
-    spared = F.when(F.length("text") == F.octet_length("text"), F.lit(True)).otherwise(F.slice(words_of(lower_ascii("text")), begin, F.col("len")) == F.col("window"))
-    same = F.when(F.slice("words", begin, F.col("len")) == F.col("folded"), spared).otherwise(F.lit(False))
-    return met.where(same).select("id", "mark", start.alias("start"), "len", "wid")
+    met = docs.select("id", "mark", "words", F.posexplode("words").alias("at", "word")).join(hint(anchors), (F.col("word") == F.col("rarest")) & near)
+    return met.where(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("len")) == F.col("window")).select("id", "mark", start.alias("start"), "len", "wid")
 
 
 def contamination(
@@ -81,7 +73,7 @@ def contamination(
     weight = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 64)).first()[0] or 0
     hint = F.broadcast if weight <= SMALL else (lambda df: df)
     # equal rows are alike in all respects: id and a hash of the text are key enough
-    worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), words_of(folded(F.col(text_col))).alias("words"))
+    worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words_of(text_col).alias("words"))
     anchors = stored(anchored(windows, worded, hint), "anchors")
     spans = find_windows(worded, anchors, hint).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("wid").alias("wids"))
     covered = F.aggregate(
@@ -96,7 +88,8 @@ def contamination(
     of = hint(windows.select("wid", "item_id").distinct())
     found = hits.select("id", "mark", "n_hit", F.explode("wids").alias("wid")).join(of, "wid").groupBy("id", "mark").agg(F.first("n_hit").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     found = found.select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), "n_hit", "item_ids")
-    base = worded.select("id", "mark", F.size("words").cast("long").alias("n_words"))
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")  # in any case
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), n_words.alias("n_words"))
     joined = base.join(found, (F.col("mark") == F.col("hit_mark")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))

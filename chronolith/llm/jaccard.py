@@ -263,7 +263,7 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def surviving(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the R-trees of their first documents let through."""
+    """Pairs that the R-trees of their first documents let through, with the similarity that their points allow."""
     of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
     rows = pairs.join(of("b"), "b").join(of("a"), "a").sortWithinPartitions("a").select("a", "n_a", "p_a", "b", "n_b", "p_b")
 
@@ -273,21 +273,34 @@ def surviving(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             b, n_b = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             points = np.array([point(x) for x in batch.column(5).to_pylist()]).reshape(-1, GROUPS)
             cuts = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
-            left, right = [], []
+            left, right, likely = [], [], []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 tree = CountVectorTree(points[x:y], n_b[x:y])
                 got = x + tree.search(point(batch.column(2)[int(x)].as_py()), batch.column(1)[int(x)].as_py(), percent)
                 left.append(a[got])
                 right.append(b[got])
+                shared = np.minimum(points[got], point(batch.column(2)[int(x)].as_py())).sum(1)
+                likely.append(shared / np.maximum(1, n_b[got] + batch.column(1)[int(x)].as_py() - shared))
             none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none)), pa.array(np.concatenate(likely or [np.zeros(0)]))], names=["a", "b", "bound"])
 
-    return map_arrow(rows, search, "a bigint, b bigint")
+    return map_arrow(rows, search, "a bigint, b bigint, bound double")
 
 
 BITS = 1 << 23
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A set's hashes cut to 40 bits: in about one of a million pairs of sets of a thousand shingles two others agree by
+    chance, which matters only to a pair whose link hangs on that one."""
+    return (s & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((s >> _U(32)) & _U(0xFF)).astype(np.uint8).tobytes()
+
+
+def unpacked(b: pa.Buffer) -> np.ndarray:
+    n = len(b) // 5
+    return np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << _U(32))
+
+
 def _slot(ids: np.ndarray) -> np.ndarray:
     return (_mix(ids.astype(np.int64).view(np.uint64)) % _U(BITS)).astype(np.int64)
 
@@ -315,7 +328,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(wanted[_slot(batch.column(0).to_numpy())]))
             for ids, texts in _chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed(s) for s in shingle_sets(texts)], pa.binary())], names=["id", "set"])
 
     return map_arrow(docs, build, "id bigint, set binary")
 
@@ -329,7 +342,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
@@ -354,6 +367,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links and their components, from known links and pairs to verify.
+
+    A set is large, so pairs are verified in two steps: every document's likeliest pair, then those pairs whose
+    documents the links so far leave in different components. The others cannot change a component.
+    """
+    sets = stored(sets_of(docs, pairs), "sets")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
+    links = stored(verified(best, sets, percent).unionByName(known), "links")
+    found = components(links)
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"in_{x}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+    rest = stored(apart.join(best, ["a", "b"], "left_anti"), "rest")
+    if not rest.limit(1).count():
+        return links, found
+    links = stored(links.unionByName(verified(rest, sets, percent)), "links")
+    return links, components(links)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles and component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -364,9 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = nodes.where("prefix is not null").select(F.explode("prefix").alias("h"), "id", "n")
     met = stored(hub_pairs(keyed.repartition("h").sortWithinPartitions("h", F.xxhash64("id")), percent), "met")
     pairs = surviving(met.where("kind = 0").select("a", "b").distinct(), points, percent)
-    pairs = stored(pairs, "pairs")
-    links = stored(verified(pairs, stored(sets_of(rows, pairs), "sets"), percent).unionByName(copies), "links")
-    found = components(links)
+    links, found = linked(stored(pairs, "pairs"), copies, rows, percent)
     # rows of long blocks outside the block's main component, against the block's other components
     long = met.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("id"), "n").join(found, "id", "left")
     long = stored(long.select("h", "id", "n", F.coalesce("component", "id").alias("component")), "long")
@@ -375,10 +405,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     outside = long.join(main, "h").where("component <> main").select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
     fits = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (F.col("component") != F.col("other"))
     more = outside.join(long, "h").where(fits).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = stored(surviving(more.join(pairs, ["a", "b"], "left_anti"), points, percent), "pairs")
+    more = stored(surviving(more, points, percent), "pairs")
     if more.limit(1).count():
-        links = stored(links.unionByName(verified(more, stored(sets_of(rows, more), "sets"), percent)), "links")
-        found = components(links)
+        _, found = linked(more, links, rows, percent)
     return nodes.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -30,7 +30,7 @@ def md5_64(col: Column) -> Column:
 def unsigned(col: Column) -> Column:
     """A long's bits as an unsigned decimal."""
     wide = col.cast("decimal(20,0)")
-    return F.when(col < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(col < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,7 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more, and let Spark remove the shuffle files of finished steps: it
+    does so once the driver's garbage is collected, which a driver with little to do rarely does by itself."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import map_arrow, stored, table
+from chronolith.llm.common import done_with, map_arrow, stored, table
 
 WORDS = 5
 GROUPS = 32
@@ -356,14 +356,16 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest reachable id) of all ids in edges a, b: neighbours' smallest labels, then the label's
     own label, until nothing changes. Every round is a written table."""
     arcs = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs")
-    labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    old = labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = arcs.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
         jumped = least.join(labels.select(F.col("id").alias("next"), F.col("component").alias("jump")), "next", "left")
         new = stored(jumped.select("id", F.coalesce("jump", "next").alias("component"), (F.coalesce("jump", "next") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("id", "component")
+        done_with(old)
+        old, labels = new, new.select("id", "component")
         if not new.where("moved").limit(1).count():
+            done_with(arcs)
             return labels
 
 
@@ -380,21 +382,24 @@ def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int) ->
     of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"in_{x}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
     rest = stored(apart.join(best, ["a", "b"], "left_anti"), "rest")
-    if not rest.limit(1).count():
-        return links, found
-    links = stored(links.unionByName(verified(rest, sets, percent)), "links")
-    return links, components(links)
+    if rest.limit(1).count():
+        links = stored(links.unionByName(verified(rest, sets, percent)), "links")
+        found = components(links)
+    done_with(sets, pairs)
+    return links, found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles and component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    nodes = stored(described(rows, common_shingles(rows), percent), "described")
+    whole = stored(described(rows, common_shingles(rows), percent), "described")
+    nodes = stored(whole.select("id", "n", "digest", "point", F.col("prefix").isNotNull().alias("first")), "nodes")
+    keyed = whole.where("prefix is not null").select(F.explode("prefix").alias("h"), "id", "n")
+    met = stored(hub_pairs(keyed.repartition("h").sortWithinPartitions("h", F.xxhash64("id")), percent), "met")
+    done_with(whole)
     same = nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     copies = nodes.select("id", "digest").where("id is not null").join(stored(same, "copied"), "digest").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    points = nodes.where("prefix is not null").select("id", "n", "point").dropDuplicates(["id"])
-    keyed = nodes.where("prefix is not null").select(F.explode("prefix").alias("h"), "id", "n")
-    met = stored(hub_pairs(keyed.repartition("h").sortWithinPartitions("h", F.xxhash64("id")), percent), "met")
+    points = nodes.where("first").select("id", "n", "point").dropDuplicates(["id"])
     pairs = surviving(met.where("kind = 0").select("a", "b").distinct(), points, percent)
     links, found = linked(stored(pairs, "pairs"), copies, rows, percent)
     # rows of long blocks outside the block's main component, against the block's other components
@@ -406,6 +411,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fits = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (F.col("component") != F.col("other"))
     more = outside.join(long, "h").where(fits).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     more = stored(surviving(more, points, percent), "pairs")
+    done_with(met, long)
     if more.limit(1).count():
         _, found = linked(more, links, rows, percent)
     return nodes.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

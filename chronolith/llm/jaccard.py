@@ -87,7 +87,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """ids and texts of parts of a batch, of about `most` characters each."""
     ids, texts, held = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -159,7 +159,7 @@ def common_shingles(docs: DataFrame) -> dict[int, int]:
                         seen.add(key)
                         held.append(s)
                         kept += len(s)
-                if kept > 4_000_000:
+                if kept > 1_500_000:
                     yield out()
                     held, kept = [], 0
                     seen.clear()
@@ -200,7 +200,7 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
                     if i is None or not len(s) or digest in first:
                         prefixes.append(None)
                         continue
-                    if len(first) > 1_000_000:
+                    if len(first) > 300_000:
                         first.clear()
                     first.add(digest)
                     p = len(s) - (-(-percent * len(s) // 100)) + 1
@@ -248,7 +248,7 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 last = (i, n)
                 if len(hubs) < HUBS:
                     hubs.append((i, n))
-                if len(done) > 500_000:
+                if len(done) > 200_000:
                     done.clear()
             if len(out) > 20_000:
                 yield table_of(out)

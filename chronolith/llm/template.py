@@ -4,7 +4,9 @@ A page is a series of tokens: its tags with their class or id, and its stretches
 host belong to one equivalence class if they occur equally often on every page. A class that is large and frequent
 enough and whose tokens keep one order on the page is valid; valid classes nest into the host's template. What lies
 between two template tokens is a slot. The text is that of the slots in the article; page furniture is told by the
-template tokens around a slot and by the roles of elements inside it.
+template tokens around a slot and by the roles of elements inside it. Inside an article a repeated text goes if an
+element with a class, id or role around it belongs to the same valid class, as shared passages do not repeat with an
+element of their own; it stays if most of the article repeats, as it does in copies.
 
 Occurrence vectors are never gathered: a vector is kept as the exclusive or of a hash for each page and count, next to its
 support, so partial aggregation shrinks hosts of any size before the shuffle, and a class is a group of equal hashes.
@@ -45,6 +47,7 @@ _ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 MIN_PAGES = 2  # of a host, for a template
 SUPPORT = 0.5  # share of a host's pages that a class must occur on
 MIN_CLASS = 2  # tokens of a class
+MIN_INSIDE = 3  # pages of a class that drops text inside an article
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -121,8 +124,8 @@ def templates(pages: DataFrame) -> DataFrame:
     return classes.groupBy(F.col("host").alias("of")).agg(F.sort_array(F.collect_list(F.struct("support", "total", "tokens")), asc=False).alias("classes"))
 
 
-def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> set[int]:
-    """Positions of a page's tokens that the host's template holds there.
+def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> dict[int, int]:
+    """Positions of a page's tokens that the host's template holds there, each with the number of its class.
 
     Classes come most frequent first. A class whose tokens occur once a page must keep inside one slot of the classes
     before it, or around them; a class of repeated tokens must repeat in turn. Others are not valid on this page.
@@ -130,61 +133,68 @@ def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> se
     at: dict[int, list[int]] = {}
     for p, t in enumerate(page):
         at.setdefault(key_of(*t), []).append(p)
-    taken: set[int] = set()
-    for c in classes:
+    taken: dict[int, int] = {}
+    for number, c in enumerate(classes):
         spots = sorted((at.get(t, []) for t in c["tokens"]), key=lambda x: x[:1])
         if not all(spots) or len({len(x) for x in spots}) != 1:
             continue
         rounds = list(zip(*spots, strict=True))
         if all(list(r) == sorted(r) for r in rounds) and all(a[-1] < b[0] for a, b in zip(rounds, rounds[1:], strict=False)):
-            taken.update(p for r in rounds for p in r)
+            taken.update((p, number) for r in rounds for p in r)
     return taken
 
 
 def main_text(page: str, classes: list[dict] | None = None) -> str:
     """The article of a page: blocks of text joined by blank lines."""
     series = list(tokens(page))
-    fixed = template_tokens(series, classes or [])
+    classes = classes or []
+    fixed = template_tokens(series, classes)
     has_holder = any(k == "open" and (n in HOLDERS) for k, n, _ in series)
     has_body = not has_holder and any(k == "open" and _BODY_NAME.search(v) and n not in FURNITURE for k, n, v in series if v)
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, holder
-    blocks: list[str] = []
-    part: list[str] = []
-    furniture = holders = 0
+    stack: list[tuple[str, bool, bool, int | None]] = []  # name, furniture, holder, class if named and inside a holder
+    blocks: list[list[tuple[str, bool]]] = []
+    part: list[tuple[str, bool]] = []  # text, whether the template holds it with an element around it
+    furniture = holders = same = varied = 0
 
     def flush() -> None:
-        if part and (text := clean("".join(part))):
-            blocks.append(text)
+        if part:
+            blocks.append(part.copy())
         part.clear()
 
     for p, (kind, name, value) in enumerate(series):
         if kind == "text":
             inside = holders or not (has_holder or has_body)
             if inside and not furniture and (holders or p not in fixed):
-                part.append(value)
+                part.append((value, holders > 0 and p in fixed and any(own == fixed[p] for *_, own in stack)))
+                if p in fixed:
+                    same += len(value.strip())
+                else:
+                    varied += len(value.strip())
             continue
         if name not in INLINE:
             flush()
         elif name == "br" or name == "img":
-            part.append(" ")
+            part.append((" ", False))
         if kind == "open":
             if name in VOID:
                 continue
             holder = name in HOLDERS or (has_body and bool(value) and bool(_BODY_NAME.search(value)))
             drop = name in RAW or name in FURNITURE or (name == "header" and not holders) or (not holder and name not in ("html", "body") and bool(value) and bool(_FURNITURE_NAME.search(value)))
-            stack.append((name, drop, holder))
+            own = fixed.get(p) if holders and value and not holder else None
+            stack.append((name, drop, holder, own if own is not None and classes[own]["support"] >= MIN_INSIDE else None))
             furniture += drop
             holders += holder
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, drop, holder in stack[k:]:
+                    for _, drop, holder, _ in stack[k:]:
                         furniture -= drop
                         holders -= holder
                     del stack[k:]
                     break
     flush()
-    return "\n\n".join(blocks)
+    texts = (clean("".join(text for text, repeated in b if not (repeated and same <= varied))) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -105,6 +105,17 @@ def test_main_text(spark):
     assert {r["text"] for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {f"Story {k}" for k in range(5)}
 
 
+def test_main_text_template_in_article(spark):
+    page = lambda k, body: (k, "http://n.test/", f"<body><article><h1>Head {k}</h1>{body}<div class=box7><p>Join our club</p></div><p>Shared passage</article></body>")
+    rows = [page(k, f"<p>Story {k} of some length</p>" + f"<p>More {k}</p>" * (k % 3)) for k in range(6)]
+    copies = [(k, "http://c.test/", "<article><h1>One title</h1><div class=part><p>One whole story</p></div></article>") for k in range(10, 14)]
+    got = template.extract(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["text"].split("\n\n") for r in got}
+    for k in range(6):
+        assert text[k] == [f"Head {k}", f"Story {k} of some length", *[f"More {k}"] * (k % 3), "Shared passage"]
+    assert all(text[k] == ["One title", "One whole story"] for k in range(10, 14))
+
+
 def brute_hits(texts, items, n=10):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))

@@ -416,6 +416,16 @@ def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "whole_texts",
+    r"""WITH n AS (SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), 'ΓÇô', '-'), 'ΓÇÖ', ''''), 'ΓÇ£', '"'), 'ΓÇ¥', '"') AS text FROM documents)
+SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r\x{85}\p{Z}]+', ' ', 'g')) AS normal FROM n""",
+)
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scalar_texts shows the first 300 characters of, in full."""
+    return parquet(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("normal"))
+
+
 @query("set_equality", f"WITH {COUNTS} SELECT 0::BIGINT AS only_left, (SELECT count(*) FROM p WHERE total_sales_units IS NULL)::BIGINT AS only_right")
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = month_panel(spark, sf_dir)

@@ -3,6 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from chronolith.functions import hashing, text, times
+from chronolith.plans.queries import QUERIES
 
 
 def one(spark, col):
@@ -24,6 +25,13 @@ def test_text(spark):
     assert one(spark, text.table_text(tables)) == "a | b\n\nc"
 
 
+def test_whole_texts(spark, tmp_path):
+    docs = [(0, " a\u3000 b\n" * 400 + "ΓÇôend"), (1, "short"), (2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["normal"] for r in QUERIES["whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a b " * 400 + "-end", 1: "short", 2: ""}
+
+
 def test_hashing(spark):
     assert one(spark, hashing.sha256(F.lit("abc"))) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert one(spark, hashing.article_id(hashing.article_sha256(F.lit("T"), F.lit("body")))) == "40859c45b65f3a71"

@@ -42,6 +42,8 @@ _FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|newsletter|subscri\w+|comments?|respond|disqus|related|share|sharing|social|breadcrumbs?|pop-?up|modal|login|signup|search|pagination|widget)(?:$|[\s_-])",
     re.I,
 )
+_TOPICS = frozenset("alert notice related search share sharing".split())  # listed words that articles are about, too
+_HEADINGS = frozenset("header h1 h2 h3 h4 h5 h6".split())  # an article's own parts, whatever their names
 _BODY_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|content|post|entry|story)(?:$|[\s_-])", re.I)
 _ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 MIN_PAGES = 2  # of a host, for a template
@@ -144,6 +146,19 @@ def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> di
     return taken
 
 
+def furniture_inside(name: str, value: str, repeated: bool) -> bool:
+    """Whether an element inside an article is furniture by its class, id or role.
+
+    Headings, headers and stretches of a line never are. Of others a listed word that is a whole name (`comments`) is a
+    role; a part of a name (`share-prices`) or a word that may be a topic says so only of an element that the template
+    repeats.
+    """
+    if name in _HEADINGS or name in INLINE:
+        return False
+    listed = [v for v in value.lower().split() if _FURNITURE_NAME.search(v.replace("header", ""))]
+    return any(repeated or (v not in _TOPICS and _FURNITURE_NAME.fullmatch(v)) for v in listed)
+
+
 def main_text(page: str, classes: list[dict] | None = None) -> str:
     """The article of a page: blocks of text joined by blank lines."""
     series = list(tokens(page))
@@ -151,7 +166,7 @@ def main_text(page: str, classes: list[dict] | None = None) -> str:
     fixed = template_tokens(series, classes)
     has_holder = any(k == "open" and (n in HOLDERS) for k, n, _ in series)
     has_body = not has_holder and any(k == "open" and _BODY_NAME.search(v) and n not in FURNITURE for k, n, v in series if v)
-    stack: list[tuple[str, bool, bool, int | None]] = []  # name, furniture, holder, class if named and inside a holder
+    stack: list[tuple[str, bool, bool, int | None]] = []  # name, furniture, holder, class if named and inside a holder; -1: furniture if the article varies
     blocks: list[list[tuple[str, bool]]] = []
     part: list[tuple[str, bool]] = []  # text, whether the template holds it with an element around it
     furniture = holders = same = varied = 0
@@ -165,7 +180,7 @@ def main_text(page: str, classes: list[dict] | None = None) -> str:
         if kind == "text":
             inside = holders or not (has_holder or has_body)
             if inside and not furniture and (holders or p not in fixed):
-                part.append((value, holders > 0 and p in fixed and any(own == fixed[p] for *_, own in stack)))
+                part.append((value, holders > 0 and any(own == -1 or (p in fixed and own == fixed[p]) for *_, own in stack)))
                 if p in fixed:
                     same += len(value.strip())
                 else:
@@ -179,9 +194,16 @@ def main_text(page: str, classes: list[dict] | None = None) -> str:
             if name in VOID:
                 continue
             holder = name in HOLDERS or (has_body and bool(value) and bool(_BODY_NAME.search(value)))
-            drop = name in RAW or name in FURNITURE or (name == "header" and not holders) or (not holder and name not in ("html", "body") and bool(value) and bool(_FURNITURE_NAME.search(value)))
-            own = fixed.get(p) if holders and value and not holder else None
-            stack.append((name, drop, holder, own if own is not None and classes[own]["support"] >= MIN_INSIDE else None))
+            drop = name in RAW or name in FURNITURE or (name == "header" and not holders)
+            own = None
+            if value and not holder and name not in ("html", "body"):
+                if not holders:
+                    drop = drop or bool(_FURNITURE_NAME.search(value))
+                else:
+                    if p in fixed and classes[fixed[p]]["support"] >= MIN_INSIDE:
+                        own = -1 if furniture_inside(name, value, True) else fixed[p]
+                    drop = drop or furniture_inside(name, value, False)
+            stack.append((name, drop, holder, own))
             furniture += drop
             holders += holder
         else:

@@ -116,6 +116,20 @@ def test_main_text_template_in_article(spark):
     assert all(text[k] == ["One title", "One whole story"] for k in range(10, 14))
 
 
+def test_main_text_names_in_article(spark):
+    page = lambda k, extra="": (
+        k, "http://w.test/", f"<body><article><header class='entry-header'><h1>Title {k}</h1></header><h2 id=related-work>Prior work {k}</h2><p>Long story {k} at <span class=share-price>1{k}</span>."
+        f"</p>{extra}<div class=ad>Buy {k}</div><div class=share-links><p>Links {k}</p></div></article></body>"
+    )
+    rows = [page(k, "<h2 id=search>Search</h2><section id=share-prices><p>Prices fell</p></section>" if k == 1 else "") for k in range(4)]
+    rows.append((9, "http://one.test/", "<article><div class=entry-header><h1>Title</h1></div><section id=alert-levels><p>Levels</p></section><div class=comments>Nice</div></article>"))
+    got = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["text"].split("\n\n") for r in got}
+    for k in range(4):
+        assert text[k] == [f"Title {k}", f"Prior work {k}", f"Long story {k} at 1{k}.", *(["Search", "Prices fell"] if k == 1 else [])]
+    assert text[9] == ["Title", "Levels"]
+
+
 def brute_hits(texts, items, n=10):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))

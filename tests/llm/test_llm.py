@@ -177,6 +177,15 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.classify(df, empty).collect()} == {0.0}
 
 
+def test_toxic_dictionary_holds_every_telling_word():
+    rng = random.Random(12)
+    plain = lambda: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(40)]
+    bad = [f"zz{k:03d}{rng.randrange(10**9):09d}" for k in range(300)]  # 4,500 bytes
+    toxic = [" ".join([*plain(), *(bad[(k * 15 + j) % 300] for j in range(15))]) for k in range(400)]
+    found = toxicity.train([" ".join(plain()) for _ in range(2000)], toxic, 1 << 16, 2 << 10)[1]
+    assert [w for w in bad if f" {w} ".encode() not in found] == []
+
+
 def brute_components(texts):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     sets = []

@@ -374,15 +374,17 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELEASE = "r AS (SELECT doc_id, 'Industry  Total ' || CASE WHEN doc_id % 3 = 0 THEN '9,999 and' ELSE '' END || ' ' || (15000 + doc_id % 50000) || ' units' AS text FROM documents)"
 
 
-def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def releases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     k = F.col("doc_id")
     said = F.concat(F.lit("Industry  Total "), F.when(k % 3 == 0, "9,999 and").otherwise(""), F.lit(" "), (15000 + k % 50000).cast("string"), F.lit(" units"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said) if whole else said
     return parquet(spark, sf_dir, "documents").select("doc_id", said.alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("tables"), F.concat(F.lit("2024_03_"), k.cast("string"), F.lit(".pdf")).alias("file_name"))
 
 
 @query("industry_totals", f"WITH {RELEASE} SELECT doc_id, 15000 + doc_id % 50000 AS total FROM r")
 def industry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return releases(spark, sf_dir).select("doc_id", extract.industry_total_native(F.col("text")).alias("total"))
+    # the sentence stands behind the whole text of its document
+    return releases(spark, sf_dir, whole=True).select("doc_id", extract.industry_total_native(F.col("text")).alias("total"))
 
 
 @query("release_totals", f"WITH {RELEASE} SELECT doc_id, 2024 AS period_year, 3 AS period_month, 15000 + doc_id % 50000 AS total_sales_units, 'ANCHORED_INDUSTRY_TOTAL' AS extraction_method, 'medium' AS extraction_confidence, '' AS warning_flag FROM r")

@@ -5,6 +5,7 @@ from chronolith.operators import labeling, links, pages, panel, quality, stats
 from chronolith.operators.extract import Limits, extract_totals, monthly_total
 from chronolith.operators.labeling import Ontology, Rule
 from chronolith.operators.links import SourceRule
+from chronolith.plans import queries
 
 
 def scores(spark, rule, title, body):
@@ -127,3 +128,10 @@ def test_pages(spark):
     assert [tuple(r) for r in found] == [("https://x.test/n", "Next")]
     feed = "<rss><channel><item><link>http://a</link></item><item><link>http://a</link></item></channel></rss>"
     assert pages.feed_links(feed) == ["http://a"] and pages.feed_links("<x") == []
+
+
+def test_industry_totals_read_whole_texts(spark, tmp_path):
+    docs = [(k, f"Long text {k} " * 50) for k in range(4)] + [(4, None), (5, "industry total 44,000 units " + "x" * 300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["total"] for r in queries.industry_totals(spark, str(tmp_path)).collect()}
+    assert got == {k: 15000 + k for k in range(5)} | {5: 44000}

@@ -1,16 +1,25 @@
 """Exact Jaccard join of documents on sets of word shingles, with count vectors in R-trees.
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes. Shingles are hashed into groups; the numbers of
-a set's shingles in each group are a point. The sum over groups of the smaller of two counts bounds the overlap of two
-sets from above, and the upper corner of an R-tree node does so for all points below it. Candidates of a document are
-packed into such a tree, the tree is searched with the document's own point, and only the survivors' sets are compared.
-
-A high-dimensional tree over a whole corpus prunes next to nothing near its root, so the trees are built on blocks:
-candidates share a shingle of their prefixes (the rarest quarter of a set, which any two sets of the wanted similarity must
-share). Documents with equal sets are one node within a task and meet across tasks by a digest of the set. Of a block's
-rows the first few are hubs to which all others are compared, so that a block of near copies gives a star and not all
-pairs; a row that its hubs leave outside the block's main component is then compared to all rows of other components,
-so no link is lost. Components are found by label propagation over tables.
+a set's shingles in each group are its point. The sum over groups of the smaller of two counts bounds the overlap of two
+sets from above, and the upper corner of an R-tree node does so for all points below it. The number of groups follows
+the size of a set (a group for one or two shingles), so the bound tells sets of all sizes apart; points of neighbouring
+resolutions are compared by folding the finer one.
+
+One tree over a corpus prunes nothing near its root in so many dimensions, so the index is a forest: a tree for every
+block of documents that share one of the rarest quarter of their shingles, which any two sets of the wanted similarity
+must share. Equal blocks are one. Every document of a block searches the block's trees, whose leaves are ordered by size,
+and pairs that the trees let through are verified on the sets themselves.
+
+No group's pairs are all written. A block with few candidate pairs gives all of them; one with many gives, of each
+document, the likeliest and one that all are likely to share, and stays open. Once those are verified and components
+known, open blocks are searched again for pairs across components: first the likeliest of each document and component,
+then, as long as components stay apart, all the rest. Blocks have a bounded size. What is beyond is cut into parts, a few
+rows of each part meet in a block of a higher level, and the whole is searched across components in tiles of parts.
+Components are found by label propagation over tables.
+
+Hashes: two different shingles of a corpus of s distinct ones agree by chance with probability s * s / 2^65, which
+matters only to a pair whose link hangs on that one.
 
 Defined cases: null, empty and blank texts have an empty set and link to nothing; fewer than five words are one shingle;
 repeated ids and rows give one row each, and ids stand for all their rows; a null id takes part in nothing and is its own
@@ -30,10 +39,13 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import done_with, map_arrow, stored, table
 
 WORDS = 5
-GROUPS = 32
-HUBS = 3  # rows of a block to which its others are compared first
+BLOCK = 256  # documents of a block
+BLOCK_SHINGLES = 1 << 22  # their shingles
+TOPS = 3  # documents of a part that stand for it on the next level
+HOT = 8192  # documents from which a known shingle is dealt to several tasks
 COMMON = 200_000  # shingles whose frequency the workers know
 FANOUT = 16
+LEAST_GROUPS, MOST_GROUPS = 4, 16  # powers of two
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -108,13 +120,22 @@ def needed(a, b, percent: int):
 
 def counts_of(s: np.ndarray) -> bytes:
     """The point of a set: how many of its shingles each group has, in the smallest width that holds them."""
-    c = np.bincount((s >> _U(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    power = min(MOST_GROUPS, max(LEAST_GROUPS, len(s).bit_length() - 1))
+    c = np.bincount((s & _U((1 << power) - 1)).astype(np.int64), minlength=1 << power)
     width = 1 if c.max(initial=0) < 256 else 4
     return bytes([width]) + c.astype(f"<u{width}").tobytes()
 
 
 def point(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+
+
+def folded(p: np.ndarray) -> np.ndarray:
+    """Points (rows) of half the resolution."""
+    half = p.shape[-1] // 2
+    wide = p.astype(np.uint32)
+    out = wide[..., :half] + wide[..., half:]
+    return out.astype(np.uint8) if out.max(initial=0) < 256 else out
 
 
 class CountVectorTree:
@@ -122,23 +143,53 @@ class CountVectorTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes)) if len(points) else np.zeros(0, np.int64)
-        self.levels = [(points[self.order], sizes[self.order])]
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
-            p, s = self.levels[-1]
+            p, least, most = self.levels[-1]
             at = np.arange(0, len(p), FANOUT)
-            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(s, at)))
+            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Positions of the points whose sets may be similar to a set of this size at point q."""
+    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the points whose sets may be similar to a set of this size at point q, and bounds of the overlap."""
         alive = np.arange(len(self.levels[-1][0]))
+        bound = np.zeros(0, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            corners, least = self.levels[depth]
-            bound = np.minimum(corners[alive], q).sum(1)
-            alive = alive[bound >= needed(size, least[alive], percent)]
+            corners, least, most = self.levels[depth]
+            alive = alive[(percent * least[alive] <= 100 * size) & (100 * most[alive] >= percent * size)]
+            bound = np.minimum(corners[alive], q).sum(1, dtype=np.int64)
+            ok = bound >= needed(size, least[alive], percent)
+            alive, bound = alive[ok], bound[ok]
             if depth:
                 below = (alive[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 alive = below[below < len(self.levels[depth - 1][0])]
-        return self.order[alive]
+        return self.order[alive], bound
+
+
+def candidates(asks: list[int], held: list[int], n: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each position of asks that has any: the positions of held whose sets may be similar, and how much so at most.
+
+    A tree holds points of one resolution. Similar sets are at most one power of two apart, so a point searches the tree
+    of its own resolution, folded the one below, and the one above with that tree's points folded.
+    """
+    classes: dict[int, list[int]] = {}
+    for j in held:
+        classes.setdefault(len(points[j]), []).append(j)
+    trees = {g: CountVectorTree(np.array([points[j] for j in js]), n[js]) for g, js in classes.items()}
+    lower: dict[int, CountVectorTree] = {}
+    for i in asks:
+        q, size, g = points[i], int(n[i]), len(points[i])
+        got, bounds = [], []
+        for h in (g // 2, g, 2 * g):
+            if h not in trees:
+                continue
+            if h > g and h not in lower:
+                lower[h] = CountVectorTree(folded(np.array([points[j] for j in classes[h]])), n[classes[h]])
+            at, bound = (lower if h > g else trees)[h].search(folded(q) if h < g else q, size, percent)
+            got.append(np.array(classes[h], np.int64)[at])
+            bounds.append(bound)
+        if got and sum(map(len, got)):
+            js, bound = np.concatenate(got), np.concatenate(bounds)
+            yield i, js, bound / np.maximum(1, size + n[js] - bound)
 
 
 def common_shingles(docs: DataFrame) -> dict[int, int]:
@@ -176,15 +227,21 @@ def common_shingles(docs: DataFrame) -> dict[int, int]:
     return {r["h"]: r["c"] for r in found.where(step >= least).collect()}  # at most COMMON rows
 
 
-_DOCS = "id bigint, n bigint, digest binary, point binary, prefix array<bigint>"
+def _salt(h: int, part: int) -> int:
+    """The key under which a part of a hot shingle's documents are dealt."""
+    return int(_mix(np.array([(h + 0x9E3779B97F4A7C15 * (part + 1)) % (1 << 64)], np.uint64)).view(np.int64)[0])
+
+
+_DOCS = "id bigint, n bigint, digest binary, d bigint, point binary, prefix array<bigint>"
 
 
 def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFrame:
-    """Of each document the size, digest and point of its set and, of the first of equal sets in a task, the prefix."""
-    keys = np.array(sorted(common), np.int64)
-    known = keys.view(np.uint64)
-    order = np.argsort(known)
-    sent = docs.sparkSession.sparkContext.broadcast((known[order], np.array([common[int(k)] for k in keys], np.int64)[order]))
+    """Of each document the size and digest of its set and, of the first of equal sets in a task, the point and the
+    prefix. A shingle that is known to be hot is replaced by one of its keys, by the document's id."""
+    keys = np.array(sorted(common, key=lambda k: k % (1 << 64)), np.int64)
+    times = np.array([common[int(k)] for k in keys], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((keys.view(np.uint64), times))
+    hot_from = HOT
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = sent.value
@@ -196,109 +253,242 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
                     digests.append(digest)
-                    points.append(counts_of(s))
                     if i is None or not len(s) or digest in first:
+                        points.append(None)
                         prefixes.append(None)
                         continue
                     if len(first) > 300_000:
                         first.clear()
                     first.add(digest)
+                    points.append(counts_of(s))
                     p = len(s) - (-(-percent * len(s) // 100)) + 1
                     at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
                     is_common = often[at] == s if len(often) else np.zeros(len(s), bool)
-                    rare = s[~is_common][:p]
-                    if len(rare) < p:
+                    prefix = s[~is_common][:p].view(np.int64)
+                    if len(prefix) < p:
                         c, t = s[is_common], times[at[is_common]]
-                        rare = np.concatenate([rare, c[np.lexsort((c, t))][: p - len(rare)]])
-                    prefixes.append(rare.view(np.int64))
+                        order = np.lexsort((c, t))[: p - len(prefix)]
+                        keys = c[order].view(np.int64).copy()
+                        for k in np.nonzero(t[order] > hot_from)[0]:
+                            parts = -(-int(t[order[k]]) // hot_from)
+                            keys[k] = _salt(int(keys[k]), int(_mix(np.array([i], np.int64).view(np.uint64))[0] % _U(parts)))
+                        prefix = np.concatenate([prefix, keys])
+                    prefixes.append(prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "point", "prefix"],
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digests], pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    names=["id", "n", "digest", "d", "point", "prefix"],
                 )
 
     return map_arrow(docs, describe, _DOCS)
 
 
-def _similar_size(a, b, percent: int) -> bool:
-    return 100 * min(a, b) >= percent * max(a, b)
+_BLOCKS = "kind int, key binary, ids array<bigint>, h bigint, id bigint, n bigint, d bigint"
+_BLOCK, _TOP, _LONG = 0, 1, 2
+
+
+class _Cutter:
+    """Cuts rows that share a key into blocks. Gathers rows of _BLOCKS: blocks (ids under a digest of them), and of what
+    is too long for one block, all rows and the few that stand for a part on the next level."""
+
+    def __init__(self, percent: int, shingle_of: dict[int, int], size: int):
+        self.percent, self.shingle_of, self.size = percent, shingle_of, size
+        self.seen: set[bytes] = set()
+        self.rows: list[tuple] = []
+
+    def run(self, key: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, long: bool) -> None:
+        long = long or key in self.shingle_of
+        h = self.shingle_of.get(key, key)
+        start, total = 0, np.cumsum(n)
+        while start < len(ids):
+            end = int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_SHINGLES, "right"))
+            end = min(max(end, start + 1), start + self.size, len(ids))
+            long = long or end < len(ids)
+            self.part(h, ids[start:end], n[start:end], d[start:end], long)
+            start = end
+
+    def part(self, h: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, long: bool) -> None:
+        """Rows of one part, sorted by d: equal sets are one row; sizes that are too far apart do not share a block."""
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (n[1:] != n[:-1])])
+        if not new.all():
+            at = np.nonzero(new)[0]
+            ids, n, d = np.minimum.reduceat(ids, at), n[at], d[at]
+        order = np.argsort(n, kind="stable")
+        ids, n, d = ids[order], n[order], d[order]
+        edges = np.nonzero(100 * n[:-1] < self.percent * n[1:])[0] + 1
+        for a, b in zip([0, *edges], [*edges, len(ids)], strict=True):
+            if long:
+                self.rows += [(_LONG, None, None, h, int(i), int(m), None) for i, m in zip(ids[a:b], n[a:b], strict=True)]
+                self.rows += [(_TOP, None, None, h, int(ids[k]), int(n[k]), int(d[k])) for k in a + np.argsort(d[a:b], kind="stable")[:TOPS]]
+            if b - a > 1:
+                whole = np.unique(ids[a:b])
+                key = hashlib.blake2b(whole.tobytes(), digest_size=16).digest()
+                if len(whole) > 1 and key not in self.seen:
+                    if len(self.seen) > 200_000:
+                        self.seen.clear()
+                    self.seen.add(key)
+                    self.rows.append((_BLOCK, key, whole, None, None, None, None))
+
+    def out(self) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 4)
+        cols = list(zip(*self.rows, strict=True)) or [()] * len(kinds)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "ids", "h", "id", "n", "d"])
+
+
+def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int) -> DataFrame:
+    """Rows of _BLOCKS from rows of key, id, n and d, which come by key, sorted by key and d. No more than a part of a
+    key's rows, or a batch, is held."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(percent, shingle_of, size)
+        known = np.array(sorted(shingle_of), np.int64)
+        none = [np.zeros(0, np.int64)] * 4
+        held, long = none, False  # rows of the last key so far; whether parts of it are cut already
+        for batch in batches:
+            key, ids, n, d = (np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns, strict=True))
+            edges = np.nonzero(key[1:] != key[:-1])[0] + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
+            wanted = (ends - starts > 1) | np.isin(key[starts], known)
+            wanted[0] |= long
+            wanted[-1] = False
+            for k in np.nonzero(wanted)[0]:
+                a, b = starts[k], ends[k]
+                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], long and k == 0)
+            long = long and len(starts) == 1
+            a = int(starts[-1])
+            if len(key) - a > size:  # whole parts of a key that goes on
+                b = a + (len(key) - a) // size * size
+                b -= size if b == len(key) else 0
+                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], True)
+                a, long = b, True
+            held = [x[a:] for x in (key, ids, n, d)]
+            if len(cutter.rows) > 20_000:
+                yield cutter.out()
+        if len(held[0]) > 1 or long or (len(held[0]) and int(held[0][0]) in shingle_of):
+            cutter.run(int(held[0][0]), *held[1:], long)
+        yield cutter.out()
+
+    return map_arrow(rows, cut, _BLOCKS)
+
+
+def forest(prefixes: DataFrame, percent: int, shingle_of: dict[int, int], size: int = BLOCK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Distinct blocks (key, ids); rows h, id, n of shingles whose documents are no single block; tables to remove."""
+    dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "d")
+    found = [stored(blocks(dealt(prefixes), percent, shingle_of, size), "blocks")]
+    before = None
+    while True:  # each level has far fewer rows
+        tops = found[-1].where(F.col("kind") == _TOP)
+        n = tops.count()
+        if not n or (before is not None and n >= before):
+            break
+        before = n
+        found.append(stored(blocks(dealt(tops.select(F.col("h").alias("key"), "id", "n", "d").distinct()), percent, {}, size), "blocks"))
+    every = found[0].where(F.col("kind") == _BLOCK)
+    for more in found[1:]:
+        every = every.unionByName(more.where(F.col("kind") == _BLOCK))
+    distinct = stored(every.select("key", "ids").dropDuplicates(["key"]), "forest")
+    return distinct, found[0].where(F.col("kind") == _LONG).select("h", "id", "n").distinct(), found
+
 
+_FIRST, _BEST, _REST = 0, 1, 2
+_FOUND = "a bigint, b bigint, key binary"
 
-def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a and b of each row and the hubs of its block; rows come sorted by h. Rows of blocks with more rows than hubs come
-    a second time, as kind 1 with a = h, for the second comparison."""
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hubs, size, done = None, [], 0, set()
-        out: list[tuple[int, int, int, int]] = []
-        for batch in batches:
-            for h, i, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if h != key:
-                    key, hubs, size = h, [], 0
-                size += 1
-                for j, m in hubs:
-                    if j != i and _similar_size(n, m, percent):
-                        two = (min(i, j), max(i, j))
-                        if two not in done:
-                            done.add(two)
-                            out.append((0, *two, 0))
-                if size == HUBS + 2:
-                    out += [(1, h, j, m) for j, m in [*hubs, last]]
-                if size >= HUBS + 2:
-                    out.append((1, h, i, n))
-                last = (i, n)
-                if len(hubs) < HUBS:
-                    hubs.append((i, n))
+def search(members: DataFrame, percent: int, mode: int) -> DataFrame:
+    """Pairs a, b that the trees of each block let through; members has key, id, n, point, side (1 asks, 2 is held, 3
+    both) and label. Blocks that have more than the pairs given come as a row of key alone.
+
+    Mode _FIRST gives all pairs of a block with few, else of each document the likeliest and that with the smallest hash
+    (so that documents of many blocks agree on it). The other modes give pairs across labels: of each document the
+    likeliest with each label, or all.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        a: list[int] = []
+        b: list[int] = []
+        keys: list[bytes | None] = []
+
+        def give(i: int, j: int) -> None:
+            two = (i, j) if i < j else (j, i)
+            if two not in done:
                 if len(done) > 200_000:
                     done.clear()
-            if len(out) > 20_000:
-                yield table_of(out)
-                out = []
-        yield table_of(out)
-
-    def table_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["kind", "a", "b", "n"])
-
-    return map_arrow(rows, pair, "kind bigint, a bigint, b bigint, n bigint")
-
-
-def surviving(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the R-trees of their first documents let through, with the similarity that their points allow."""
-    of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
-    rows = pairs.join(of("b"), "b").join(of("a"), "a").sortWithinPartitions("a").select("a", "n_a", "p_a", "b", "n_b", "p_b")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a document's block is a run of rows; a batch bounds it
-            a = batch.column(0).to_numpy()
-            b, n_b = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            points = np.array([point(x) for x in batch.column(5).to_pylist()]).reshape(-1, GROUPS)
-            cuts = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
-            left, right, likely = [], [], []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                tree = CountVectorTree(points[x:y], n_b[x:y])
-                got = x + tree.search(point(batch.column(2)[int(x)].as_py()), batch.column(1)[int(x)].as_py(), percent)
-                left.append(a[got])
-                right.append(b[got])
-                shared = np.minimum(points[got], point(batch.column(2)[int(x)].as_py())).sum(1)
-                likely.append(shared / np.maximum(1, n_b[got] + batch.column(1)[int(x)].as_py() - shared))
-            none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left or none)), pa.array(np.concatenate(right or none)), pa.array(np.concatenate(likely or [np.zeros(0)]))], names=["a", "b", "bound"])
-
-    return map_arrow(rows, search, "a bigint, b bigint, bound double")
+                done.add(two)
+                a.append(two[0])
+                b.append(two[1])
+                keys.append(None)
+
+        def block(key: bytes, ids: list[int], n: list[int], points: list[np.ndarray], side: list[int], label: list[int]) -> None:
+            own, marks = np.array(ids), np.array(label)
+            got, total = [], 0
+            for i, js, likely in candidates([k for k, x in enumerate(side) if x & 1], [k for k, x in enumerate(side) if x & 2], np.array(n), points, percent):
+                ok = (own[js] != own[i]) & ((marks[js] != marks[i]) if mode != _FIRST else True)
+                if ok.any():
+                    got.append((i, js[ok], likely[ok]))
+                    total += int(ok.sum())
+            if mode == _REST or (mode == _FIRST and total <= 4 * len(ids)):
+                for i, js, _ in got:
+                    for j in js:
+                        give(ids[i], ids[j])
+                return
+            for i, js, likely in got:
+                order = np.lexsort((own[js], -likely))
+                if mode == _BEST:
+                    _, at = np.unique(marks[js[order]], return_index=True)
+                    for j in js[order[at]]:
+                        give(ids[i], ids[j])
+                    continue
+                give(ids[i], ids[js[order[0]]])
+                hashes = _mix(own[js].view(np.uint64))
+                if hashes.min() < _mix(own[i : i + 1].view(np.uint64))[0]:
+                    give(ids[i], ids[js[hashes.argmin()]])
+            if mode == _FIRST:
+                a.append(None)
+                b.append(None)
+                keys.append(key)
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary())], names=["a", "b", "key"])
+            a.clear(), b.clear(), keys.clear()
+            return found
 
+        held = None, [], [], [], [], []
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "id", "n", "point", "side", "label")]
+            for key, i, n, p, side, label in zip(*cols, strict=True):
+                if key != held[0]:
+                    if len(held[1]) > 1:
+                        block(*held)
+                    held = key, [], [], [], [], []
+                for column, x in zip(held[1:], (i, n, point(p), side, i if label is None else label), strict=True):
+                    column.append(x)
+            if len(a) > 20_000:
+                yield out()
+        if len(held[1]) > 1:
+            block(*held)
+        yield out()
 
-BITS = 1 << 23
+    rows = members.select("key", "id", "n", "point", "side", "label").repartition("key").sortWithinPartitions("key")
+    return map_arrow(rows, find, _FOUND)
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set's hashes cut to 40 bits: in about one of a million pairs of sets of a thousand shingles two others agree by
-    chance, which matters only to a pair whose link hangs on that one."""
-    return (s & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((s >> _U(32)) & _U(0xFF)).astype(np.uint8).tobytes()
+def tiles(long: DataFrame, labels: DataFrame, size: int = BLOCK) -> DataFrame:
+    """key, id and side: of each shingle whose documents are in several components, the documents outside its largest
+    component against all, in tiles of bounded parts."""
+    own = long.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
+    sizes = own.groupBy("h", "label").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("rows")).where("rows > most")
+    main = stored(main.select("h", "main", F.ceil(F.col("rows") / size).cast("int").alias("parts"), F.ceil((F.col("rows") - F.col("most")) / size).cast("int").alias("outer")), "main")
+    both = own.join(main, "h")
+    part = lambda col, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(col)).cast("int")
+    each = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
+    asks = both.where("label <> main").select("h", "id", part("outer", "i").alias("i"), each("parts").alias("j"), F.lit(1).alias("side"))
+    held = both.select("h", "id", each("outer").alias("i"), part("parts", "j").alias("j"), F.lit(2).alias("side"))
+    return asks.unionByName(held).select(F.unhex(F.md5(F.concat_ws(",", "h", "i", "j").cast("binary"))).alias("key"), "id", "side")
 
 
-def unpacked(b: pa.Buffer) -> np.ndarray:
-    n = len(b) // 5
-    return np.frombuffer(b, "<u4", n).astype(np.uint64) | (np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << _U(32))
+BITS = 1 << 23
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -315,8 +505,8 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             bits[_slot(batch.column(1).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    # at most 16 bitmaps of a fixed size
-    marks = map_arrow(pairs.select("a", "b").coalesce(16), mark, "bits binary").collect()
+    # at most 8 bitmaps of a fixed size
+    marks = map_arrow(pairs.select("a", "b").coalesce(8), mark, "bits binary").collect()
     all_bits = np.zeros(BITS // 8, np.uint8)
     for r in marks:
         all_bits |= np.frombuffer(r["bits"], np.uint8)
@@ -328,13 +518,17 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(wanted[_slot(batch.column(0).to_numpy())]))
             for ids, texts in _chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed(s) for s in shingle_sets(texts)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["id", "set"])
 
     return map_arrow(docs, build, "id bigint, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+SETS_PER_BATCH = 256
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sets are similar enough, as a stored table."""
+    sets = stored(sets_of(docs, pairs), "sets")
     of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b")
 
@@ -342,79 +536,81 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                same = int((q[at] == p).sum())
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both, verify, "a bigint, b bigint")
+    links = stored(map_arrow(both, verify, "a bigint, b bigint").distinct(), "links", SETS_PER_BATCH)
+    done_with(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and component (smallest reachable id) of all ids in edges a, b: neighbours' smallest labels, then the label's
+    """id and label (smallest reachable id) of all ids in edges a, b: neighbours' smallest labels, then the label's
     own label, until nothing changes. Every round is a written table."""
     arcs = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs")
-    old = labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    old = labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = arcs.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
-        jumped = least.join(labels.select(F.col("id").alias("next"), F.col("component").alias("jump")), "next", "left")
-        new = stored(jumped.select("id", F.coalesce("jump", "next").alias("component"), (F.coalesce("jump", "next") != F.col("component")).alias("moved")), "labels")
+        near = arcs.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
+        jumped = least.join(labels.select(F.col("id").alias("next"), F.col("label").alias("jump")), "next", "left")
+        new = stored(jumped.select("id", F.coalesce("jump", "next").alias("label"), (F.coalesce("jump", "next") != F.col("label")).alias("moved")), "labels")
         done_with(old)
-        old, labels = new, new.select("id", "component")
+        old, labels = new, new.select("id", "label")
         if not new.where("moved").limit(1).count():
             done_with(arcs)
             return labels
 
 
-def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links and their components, from known links and pairs to verify.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: components of the few labels that the links join."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"in_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b")).where("a <> b")
+    joined = components(ends)
+    moved = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return stored(moved.unionByName(joined.join(labels, "id", "left_anti").select("id", "label")), "labels")
 
-    A set is large, so pairs are verified in two steps: every document's likeliest pair, then those pairs whose
-    documents the links so far leave in different components. The others cannot change a component.
-    """
-    sets = stored(sets_of(docs, pairs), "sets")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bound", -F.col("a"))).alias("a")).select("a", "b")
-    links = stored(verified(best, sets, percent).unionByName(known), "links")
-    found = components(links)
-    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"in_{x}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    rest = stored(apart.join(best, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = stored(links.unionByName(verified(rest, sets, percent)), "links")
-        found = components(links)
-    done_with(sets, pairs)
-    return links, found
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles and component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    whole = stored(described(rows, common_shingles(rows), percent), "described")
-    nodes = stored(whole.select("id", "n", "digest", "point", F.col("prefix").isNotNull().alias("first")), "nodes")
-    keyed = whole.where("prefix is not null").select(F.explode("prefix").alias("h"), "id", "n")
-    met = stored(hub_pairs(keyed.repartition("h").sortWithinPartitions("h", F.xxhash64("id")), percent), "met")
+    common = common_shingles(rows)
+    shingle_of = {_salt(h, part): h for h, c in common.items() if c > HOT for part in range(-(-c // HOT))}
+    whole = stored(described(rows, common, percent), "described")
+    nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes")
+    points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
+    trees, long, spent = forest(whole.where("prefix is not null").select(F.explode("prefix").alias("key"), "id", "n", "d"), percent, shingle_of, block)
     done_with(whole)
-    same = nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    copies = nodes.select("id", "digest").where("id is not null").join(stored(same, "copied"), "digest").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    points = nodes.where("first").select("id", "n", "point").dropDuplicates(["id"])
-    pairs = surviving(met.where("kind = 0").select("a", "b").distinct(), points, percent)
-    links, found = linked(stored(pairs, "pairs"), copies, rows, percent)
-    # rows of long blocks outside the block's main component, against the block's other components
-    long = met.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("id"), "n").join(found, "id", "left")
-    long = stored(long.select("h", "id", "n", F.coalesce("component", "id").alias("component")), "long")
-    sizes = long.groupBy("h", "component").agg(F.count("*").alias("size"))
-    main = stored(sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "main")
-    outside = long.join(main, "h").where("component <> main").select("h", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
-    fits = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (F.col("component") != F.col("other"))
-    more = outside.join(long, "h").where(fits).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = stored(surviving(more, points, percent), "pairs")
-    done_with(met, long)
-    if more.limit(1).count():
-        _, found = linked(more, links, rows, percent)
-    return nodes.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # ids of equal sets, and of several sets under one id
+    same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied")
+    several = nodes.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
+    twice = nodes.join(same, "digest").select("id", "least", "first")
+    equal = twice.where("first").select(F.col("least").alias("a"), F.col("id").alias("b")).unionByName(twice.join(several, "id").select(F.col("least").alias("a"), F.col("id").alias("b")))
+    in_blocks = lambda table: table.select("key", F.explode("ids").alias("id"))
+    first = in_blocks(trees).join(points, "id").select("*", F.lit(3).alias("side"), F.lit(None).cast("long").alias("label"))
+    found = stored(search(first, percent, _FIRST), "found")
+    tested = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
+    still_open = found.where("key is not null").select("key").distinct()
+    labels = components(verified(tested, rows, percent).unionByName(equal.where("a <> b").distinct()))
+    for mode in (_BEST, _REST):
+        own = in_blocks(trees.join(still_open, "key", "left_semi")).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        apart = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        asked = own.join(apart, "key", "left_semi").select("key", "id", F.lit(3).alias("side"))
+        asked = stored(asked.unionByName(tiles(long, labels, block)), "asked")
+        if not asked.limit(1).count():
+            break
+        across = search(asked.join(points, "id").join(labels, "id", "left"), percent, mode)
+        more = stored(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            labels = merged(labels, verified(more, rows, percent))
+            tested = tested.unionByName(more)
+        done_with(asked)
+    done_with(points, *spent)
+    vertex = nodes.select("id", "n", "digest").join(same, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("vertex"))
+    both = vertex.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left")
+    return both.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "vertex").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

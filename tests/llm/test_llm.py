@@ -218,14 +218,50 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_components(docs(spark, ODD).limit(0)).count() == 0
 
 
-def test_count_vector_tree():
+def test_jaccard_join_long_blocks(spark, monkeypatch):
+    """Blocks of more rows than a part holds, hot shingles dealt to several tasks, and a hot block of unlike documents."""
+    monkeypatch.setattr(jaccard, "HOT", 10)
+    rng = random.Random(16)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(150):  # chains: only neighbours are similar enough
+        w = base.copy()
+        for j in range(k, k + 7):
+            w[j % 60] = f"x{j}"
+        texts.append(" ".join(w))
+    line = [f"line{k}" for k in range(40)]
+    texts += [" ".join([*line, *(f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(8, 16)))]) for _ in range(90)]
+    texts += ["s t u v w x"] * 30 + [" ".join([*line, "tail", str(k)]) for k in range(30)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, texts).repartition(3), block=8).collect()}
+    assert got == brute_components(texts)
+
+
+def test_jaccard_join_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " z"), (4, c), (None, c), (5, None), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(1, 26, 1), (2, 26, 1), (2, 26, 1), (3, 27, 1), (4, 26, 4), (None, 26, None), (5, 0, 5), (4, 26, 4)], key=str)
+
+
+def test_count_vector_trees():
     rng = np.random.default_rng(1)
-    points = rng.integers(0, 5, (300, jaccard.GROUPS))
-    sizes = points.sum(1)
-    tree = jaccard.CountVectorTree(points, sizes)
-    for k in range(20):
-        want = np.nonzero(np.minimum(points, points[k]).sum(1) >= jaccard.needed(int(sizes[k]), sizes, 75))[0]
-        assert sorted(tree.search(points[k], int(sizes[k]), 75)) == list(want)
+    sets = [np.unique(rng.integers(0, 1 << 60, rng.integers(20, 90), dtype=np.uint64)) for _ in range(150)]
+    for k in range(150):  # near copies
+        kept = sets[k][rng.random(len(sets[k])) > 0.1]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 60, 4, dtype=np.uint64)])))
+    n, points = np.array([len(s) for s in sets]), [jaccard.point(jaccard.counts_of(s)) for s in sets]
+    every = list(range(len(sets)))
+    got = {(i, int(j)) for i, js, _ in jaccard.candidates(every, every, n, points, 75) for j in js}
+    for i in every:
+        for j in every:
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * same >= 75 * (n[i] + n[j] - same):
+                assert (i, j) in got
+    assert len(got) < 3 * len(sets)  # and little else
+    tree = jaccard.CountVectorTree(np.array([p for p in points if len(p) == 32]), n[[len(p) == 32 for p in points]])
+    assert len(tree.levels) == 2 and all((np.maximum.reduceat(tree.levels[0][0], np.arange(0, len(tree.order), jaccard.FANOUT)) == tree.levels[1][0]).ravel())
 
 
 def test_top_k(spark):

@@ -1,19 +1,24 @@
 """Language-model scores from a subword lattice.
 
-A text is a series of words and one end. The pieces of an existing subword vocabulary, weighted by its scores, span a
-lattice over each word; a forward recursion in log space sums over all segmentations, so the score of a text is the log
-of its marginal probability. The weights start from the vocabulary's own scores and are estimated anew from the training
-texts by expected piece counts over their words (one round of expectation maximisation by default), smoothed with the
-vocabulary's scores.
+A text is a series of words and one end. The pieces of an existing subword vocabulary, weighted by its own scores, span a
+lattice over each word; a forward recursion in log space sums over all segmentations. The lattice of a word that the
+training texts have holds one more arc, over the whole word, weighted by how often they have it. With N training tokens
+(ends included), of which T are distinct, and c of them the word,
+
+    P(word) = (c + T * lattice(word)) / (N + T):
+
+what T of N + T tokens began as a new word is left to the vocabulary's pieces (Witten-Bell). The probability of a text is
+the product over its words and its end, marginal over all segmentations of the text, as no piece crosses a blank.
 
 Beside it stands a base score: add-one unigrams of whole words over all training tokens.
 
-Words are counted over the whole training corpus in a shuffled table. The most frequent words (a bounded number, of
-bounded length) travel to the workers; occurrences of all others are joined to the table.
+All distinct words are counted over the whole corpus in a shuffled table and scored there once. The most frequent words
+(a bounded number, of bounded length) travel to the workers that read the texts, which sum them up on the spot;
+occurrences of all others are joined to the table and summed by Spark.
 
-Defined cases: a null text is empty and has one token, its end; a null id is in training; repeated rows give one row
-each; without training rows every base probability is 1 and pieces keep the vocabulary's weights; an empty table gives an
-empty result; further columns are ignored.
+Defined cases: a null text is empty and has one token, its end; where `learns` is null a row is in training; repeated rows
+give one row each; without training rows every base probability is 1 and P(word) is the lattice alone; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import in_fold, map_arrow, stored, table
@@ -35,11 +40,10 @@ from chronolith.llm.common import in_fold, map_arrow, stored, table
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 MARK = "▁"  # begins a word
-FREQUENT = 150_000  # words whose counts the workers hold
+FREQUENT = 150_000  # words whose scores the workers hold
 FREQUENT_CHARS = 48  # the longest of them
 FLUSH = 300_000  # distinct words after which a task passes its counts on
-SMOOTHING = 1000.0  # pieces' worth of the vocabulary's own weights
-_PATHS = 4096  # words whose lattices are computed at once
+_CHARS = 1 << 16  # characters of the words whose lattices are computed at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -65,15 +69,15 @@ class PieceModel:
             self.single[char] = float(sum(self.logp[self.bytes_at + b] for b in char.encode("utf-8", "surrogatepass")))
         return self.single[char]
 
-    def _arcs(self, marked: list[str], i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids (-1: none) and log probabilities of characters i to j of each string."""
+    def _arcs(self, marked: list[str], i: int, j: int) -> np.ndarray:
+        """Log probabilities of the pieces over characters i to j of each string; minus infinity: no piece."""
         get = self.pieces.get
         ids = np.array([get(s[i:j], -1) for s in marked])
         lp = np.where(ids < 0, -np.inf, self.logp[ids])
         if j == i + 1 and (ids < 0).any():
             for k in np.nonzero(ids < 0)[0]:
                 lp[k] = self.spelled(marked[k][i])
-        return ids, lp
+        return lp
 
     def _one(self, s: str) -> float:
         """Forward recursion over one string; keeps no more than the longest piece needs."""
@@ -102,50 +106,25 @@ class PieceModel:
         for k, w in enumerate(words):
             by_length[len(w) + 1].append(k)
         for length, ks in by_length.items():
-            for at in range(0, len(ks), _PATHS):
-                part = ks[at : at + _PATHS]
+            step = max(1, _CHARS // length)
+            for at in range(0, len(ks), step):
+                part = ks[at : at + step]
                 if len(part) < 12:
                     for k in part:
                         out[k] = self._one(MARK + words[k])
                 else:
-                    out[part] = self._forward([MARK + words[k] for k in part], length)[0][length]
+                    out[part] = self._forward([MARK + words[k] for k in part], length)
         return out
 
-    def _forward(self, marked: list[str], length: int, keep: bool = False):
+    def _forward(self, marked: list[str], length: int) -> np.ndarray:
+        """The same for many strings of one length."""
         f = [np.zeros(len(marked))]
-        arcs = {}
         for j in range(1, length + 1):
             total = np.full(len(marked), -np.inf)
             for i in range(max(0, j - self.longest), j):
-                ids, lp = self._arcs(marked, i, j)
-                if keep:
-                    arcs[i, j] = ids, lp
-                total = np.logaddexp(total, f[i] + lp)
+                total = np.logaddexp(total, f[i] + self._arcs(marked, i, j))
             f.append(total)
-        return f, arcs
-
-    def expected(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
-        """Add the expected number of each piece in the words, each as often as its count says."""
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            by_length[len(w) + 1].append(k)
-        for length, ks in by_length.items():
-            for at in range(0, len(ks), max(1, _PATHS * 16 // max(16, length))):
-                part = ks[at : at + max(1, _PATHS * 16 // max(16, length))]
-                marked = [MARK + words[k] for k in part]
-                f, arcs = self._forward(marked, length, keep=True)
-                b = [np.full(len(part), -np.inf) for _ in range(length)] + [np.zeros(len(part))]
-                for i in range(length - 1, -1, -1):
-                    for j in range(i + 1, min(length, i + self.longest) + 1):
-                        b[i] = np.logaddexp(b[i], arcs[i, j][1] + b[j])
-                for (i, j), (ids, lp) in arcs.items():
-                    share = counts[part] * np.exp(f[i] + lp + b[j] - f[length])
-                    known = ids >= 0
-                    np.add.at(into, ids[known], share[known])
-                    if j == i + 1:
-                        for k in np.nonzero(~known)[0]:
-                            for byte in marked[k][i].encode("utf-8", "surrogatepass"):
-                                into[self.bytes_at + byte] += share[k]
+        return f[length]
 
 
 def load_vocabulary(vocabulary: str) -> PieceModel:
@@ -174,37 +153,18 @@ def load_vocabulary(vocabulary: str) -> PieceModel:
     return PieceModel({p: i for i, p in enumerate(found)}, logs, max(map(len, found)))
 
 
-def reestimate(prior: PieceModel, words: DataFrame, ends: int, rounds: int) -> PieceModel:
-    """Piece weights from the expected counts over all training words (columns word and c)."""
-    model = prior
-    for _ in range(rounds):
-        sent = words.sparkSession.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            total = np.zeros(len(own.logp))
-            for batch in batches:
-                own.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float), total)
-            some = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
-
-        found = map_arrow(words.select("word", "c"), count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most one row a piece
-        counts = np.exp(prior.logp) * SMOOTHING
-        for piece, n in found:
-            counts[piece] += n
-        counts[-1] += ends
-        model = PieceModel(prior.pieces, np.log(counts / counts.sum()), prior.longest)
-    return model
-
-
 def count_words(texts: DataFrame) -> DataFrame:
-    """word and c over all rows of the column text."""
+    """word and c, its occurrences in rows that learn, of all words of the column text; texts has text and learns."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
+            for text, learns in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if learns:
+                    held.update(words_of(text.as_py()))
+                else:
+                    for word in words_of(text.as_py()):
+                        held[word] += 0
                 if len(held) > FLUSH:
                     yield from out(held)
                     held = Counter()
@@ -218,10 +178,43 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Of the training tokens: all, distinct ones, and ends."""
+
+    tokens: int
+    distinct: int
+    ends: int
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        """log10 of the add-one probability of tokens that occur c times."""
+        return np.log10((c + 1) / (self.tokens + self.distinct + 1))
+
+    def mixed(self, c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """log10 P of tokens that occur c times, with the natural log of their lattices."""
+        new = max(1, self.distinct)
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(c), math.log(new) + lattice) - math.log(self.tokens + new)) / math.log(10)
+
+
+def score_words(words: DataFrame, model: PieceModel, totals: Totals) -> DataFrame:
+    """word, c, base and score (log10 probabilities) of every word."""
+    sent = words.sparkSession.sparkContext.broadcast((model, totals))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, totals = sent.value
+        for batch in batches:
+            c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            found = totals.mixed(c, own.word_scores(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals.base(c)), pa.array(found)], names=["word", "c", "base", "score"])
+
+    return map_arrow(words.select("word", "c"), score, "word string, c bigint, base double, score double")
+
+
 def frequent_words(words: DataFrame) -> DataFrame:
     """The most frequent words, at most FREQUENT of them: all from a count that a histogram of counts gives, so that no
     task sends more than its share of them."""
-    short = words.where(F.length("word") <= FREQUENT_CHARS)
+    short = words.where((F.length("word") <= FREQUENT_CHARS) & (F.col("c") > 0))
     step = F.floor(F.log("c") * 64).cast("int")
     least, held = None, 0
     for r in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # at most 64 for each power of e
@@ -232,102 +225,79 @@ def frequent_words(words: DataFrame) -> DataFrame:
     return short.where(F.lit(False) if least is None else step >= least)
 
 
-@dataclass
-class Scorer:
-    """What the workers need: the piece model, counts and scores of frequent words, and the totals."""
-
-    model: PieceModel
-    frequent: dict[str, tuple[float, float]]  # log10(c + 1), log10 probability
-    norm: float  # log10(N + V + 1)
-    ends: int
-
-
 _SPLIT = "rid bigint, id {}, word string, tf bigint, n_tokens bigint, n_known bigint, base double, score double"
 
 
-def _split(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Of each text a row of what frequent words and the end sum up to, and a row for each other word."""
-    own: Scorer = sent.value
-    end = math.log10(own.ends + 1) - own.norm
-    end_model = float(own.model.logp[-1]) / math.log(10)
-    get = own.frequent.get
-    for batch in batches:
-        rows: list[tuple] = []
-        for rid, own_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            counts = Counter(words_of(text.as_py()))
-            n, known, base, score = 1, int(own.ends > 0), end, end_model
-            for word, tf in counts.items():
-                n += tf
-                if (found := get(word)) is not None:
-                    known += tf
-                    base += tf * (found[0] - own.norm)
-                    score += tf * found[1]
-                else:
-                    rows.append((rid, None, word, tf, 0, 0, 0.0, 0.0))
-            rows.append((rid, own_id, f" {rid}", 0, n, known, base, score))  # a key that no word equals
-            if len(rows) > 50_000:
-                yield _table(rows, batch.schema.field("id").type)
-                rows = []
-        yield _table(rows, batch.schema.field("id").type)
-
-
-def _table(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), id_type, pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "id", "word", "tf", "n_tokens", "n_known", "base", "score"])
-
-
-_SCORED = "rid bigint, id {}, n_tokens bigint, n_known bigint, base double, score double"
-
-
-def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Scores of the words that were joined to their counts. Rows of a word arrive together after the join."""
-    own: Scorer = sent.value
-    for batch in batches:
-        rid, n, known, base, score = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("rid", "n_tokens", "n_known", "base", "score"))
-        tf = batch.column(batch.schema.get_field_index("tf")).to_numpy(zero_copy_only=False)
-        c = np.nan_to_num(batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False).astype(float))
-        coded = batch.column(batch.schema.get_field_index("word")).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        real = [k for k, w in enumerate(words) if not w.startswith(" ")]
-        logs = np.zeros(len(words))
-        if real:
-            logs[real] = own.model.word_scores([words[k] for k in real]) / math.log(10)
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        known = known + np.where(c > 0, tf, 0)
-        base = base + tf * (np.log10(c + 1) - own.norm)
-        score = score + tf * logs[at]
-        order = np.unique(rid, return_inverse=True)
-        add = lambda x: np.bincount(order[1], x, len(order[0]))
-        named = np.full(len(order[0]), -1)
-        own_rows = np.nonzero(np.isin(at, [k for k, w in enumerate(words) if w.startswith(" ")]))[0]
-        named[order[1][own_rows]] = own_rows
-        ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(named, mask=named < 0))
-        yield pa.RecordBatch.from_arrays([pa.array(order[0]), ids, pa.array(add(n).astype(np.int64)), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(add(score))], names=["rid", "id", "n_tokens", "n_known", "base", "score"])
-
-
-def lm_scores(docs: DataFrame, training: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
-    """One row per document: id, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    texts = training.select(F.col(text_col).alias("text"))
+def split(rows: DataFrame, frequent: dict[str, tuple[float, float]], end: tuple[int, float, float], kind: str) -> DataFrame:
+    """Of each text (rid, id and text) a row of what its frequent words and its end sum up to, which alone has the id, and
+    a row for each other word. That row's word is a key of its own that no word equals. end: known, base and score of the
+    end."""
+    sent = rows.sparkSession.sparkContext.broadcast((frequent, end))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, end = sent.value
+        get = frequent.get
+        for batch in batches:
+            id_type = batch.schema.field(1).type
+            rids, words, tfs = [], [], []
+            sums: list[tuple] = []
+            for rid, own_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                n, (known, base, score) = 1, end
+                for word, tf in Counter(words_of(text.as_py())).items():
+                    n += tf
+                    if (found := get(word)) is not None:
+                        known += tf
+                        base += tf * found[0]
+                        score += tf * found[1]
+                    else:
+                        rids.append(rid)
+                        words.append(word)
+                        tfs.append(tf)
+                sums.append((rid, own_id, n, known, base, score))
+                if len(words) > 50_000:
+                    yield out(rids, words, tfs, sums, id_type)
+                    rids, words, tfs, sums = [], [], [], []
+            yield out(rids, words, tfs, sums, id_type)
+
+    def out(rids: list, words: list, tfs: list, sums: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        rest, own = len(words), list(zip(*sums, strict=True)) or [()] * 6
+        none = [None] * rest
+        columns = [[*rids, *own[0]], [*none, *own[1]], [*words, *(f" {r}" for r in own[0])], [*tfs, *[0] * len(sums)], *([*none, *c] for c in own[2:])]
+        kinds = [pa.int64(), id_type, pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "id", "word", "tf", "n_tokens", "n_known", "base", "score"])
+
+    return map_arrow(rows, read, _SPLIT.format(kind))
+
+
+def lm_scores(docs: DataFrame, learns: Column, vocabulary: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score and score. learns: whether a row is in
+    training."""
+    learns = F.coalesce(learns, F.lit(True))
+    texts = docs.select(F.col(text_col).alias("text"), learns.alias("learns"))
     words = stored(count_words(texts), "words")
-    ends = texts.count()
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, distinct = total + ends, distinct + (ends > 0)
-    model = reestimate(load_vocabulary(vocabulary), words, ends, rounds)
-    top = frequent_words(words).collect()  # bounded
-    logs = model.word_scores([r["word"] for r in top]) / math.log(10)
-    frequent = {r["word"]: (math.log10(r["c"] + 1), float(s)) for r, s in zip(top, logs, strict=True)}
-    sent = spark.sparkContext.broadcast(Scorer(model, frequent, math.log10(total + distinct + 1), ends))
+    ends = texts.where("learns").count()
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    totals = Totals(total + ends, distinct + (ends > 0), ends)
+    model = load_vocabulary(vocabulary)
+    scored = stored(score_words(words, model, totals), "scored")
+    frequent = {r["word"]: (r["base"], r["score"]) for r in frequent_words(scored).collect()}  # bounded
+    c = np.array([float(ends)])
+    end = int(ends > 0), float(totals.base(c)[0]), float(totals.mixed(c, model.logp[-1:])[0])
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    split = map_arrow(rows, lambda b: _split(b, sent), _SPLIT.format(kind))
-    scored = map_arrow(split.join(words, "word", "left"), lambda b: _score(b, sent), _SCORED.format(kind))
-    summed = scored.groupBy("rid").agg(F.max("id").alias(id_col), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return summed.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    parts = split(rows, frequent, end, docs.schema[id_col].dataType.simpleString())
+    of = scored.select("word", "c", F.col("base").alias("word_base"), F.col("score").alias("word_score"))
+    both = parts.join(of, "word", "left")
+    summed = both.groupBy("rid").agg(
+        F.max("id").alias(id_col),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
+        F.sum(F.coalesce("base", F.col("tf") * F.col("word_base"))).alias("base_score"),
+        F.sum(F.coalesce("score", F.col("tf") * F.col("word_score"))).alias("score"),
+    )
+    return summed.select(id_col, "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scores = lm_scores(docs, docs.where(~in_fold("doc_id", 7, 2)))
+    scores = lm_scores(docs, ~in_fold("doc_id", 7, 2))
     return scores.withColumn("held_out", in_fold("doc_id", 7, 2)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -296,29 +296,54 @@ def test_language_id(spark):
     assert langid.identify(docs(spark, ["a"]), langid.fit(docs(spark, ["a"]).limit(0))).first()["lang_pred"] == "und"
 
 
-def test_lm_scores(spark):
+def lattice_total(model, s):
+    """Probability of s over all its segmentations, one by one."""
+    if not s:
+        return 1.0
+    out = 0.0
+    for j in range(1, len(s) + 1):
+        p = model.pieces.get(s[:j])
+        if p is not None:
+            out += math.exp(model.logp[p]) * lattice_total(model, s[j:])
+        elif j == 1:
+            out += math.exp(model.spelled(s[0])) * lattice_total(model, s[1:])
+    return out
+
+
+def test_lm_scores(spark, monkeypatch):
     rng = random.Random(9)
-    texts = [*ODD, *[words(rng, 40) for _ in range(60)]]
-    df = docs(spark, texts)
-    train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
-    got = {r["doc_id"]: r for r in lattice.lm_scores(df, df.where(F.col("doc_id").isin(train))).collect()}
+    texts = [*(x for x in ODD if x is None or len(x) < 5000), *[words(rng, 40) for _ in range(60)], "Hello w1 éa 日x"]
+    df = docs(spark, texts).repartition(3)
+    learns = [zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(texts))]
+    learnt = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
     split = {k: lattice.words_of(t) for k, t in enumerate(texts)}
-    c = Counter(w for k in train for w in split[k])
-    c[None] = len(train)
+    c = Counter(w for k, x in enumerate(learns) if x for w in split[k])
+    c[None] = sum(learns)
     n, v = sum(c.values()), len(c)
-    for k in range(len(texts)):
-        w = [*split[k], None]
-        assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert got[k]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert got[k]["score"] < 0
     model = lattice.load_vocabulary("piece_bpe_32k.model")
-    def total(s):  # over all segmentations
-        if not s:
-            return 1.0
-        return sum(math.exp(model.logp[p]) * total(s[j:]) if (p := model.pieces.get(s[:j])) is not None else math.exp(model.spelled(s[0])) * total(s[1:]) if j == 1 else 0.0 for j in range(1, len(s) + 1))
-    for w in ("hello", "éa", "日x"):
-        assert model.word_scores([w])[0] == pytest.approx(math.log(total(lattice.MARK + w)))
+    known = {w: lattice_total(model, lattice.MARK + w) for w in {w for x in split.values() for w in x}} | {None: math.exp(model.logp[-1])}
+    for frequent in (20, 0):  # words that travel, and words that are joined
+        monkeypatch.setattr(lattice, "FREQUENT", frequent)
+        got = {r["doc_id"]: r for r in lattice.lm_scores(df, learnt).collect()}
+        assert len(got) == len(texts)
+        for k in range(len(texts)):
+            w = [*split[k], None]
+            assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+            assert got[k]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+            assert got[k]["score"] == pytest.approx(sum(math.log10((c[x] + v * known[x]) / (n + v)) for x in w))
     assert np.exp(model.logp).sum() == pytest.approx(1)
+    none = lattice.lm_scores(df, F.lit(False)).where("doc_id = 3").first()
+    assert none["n_known"] == none["train_tokens"] == 0 and none["base_score"] == 0
+    assert none["score"] == pytest.approx(math.log10(known["a"] * known[None]))
+    assert lattice.lm_scores(df.limit(0), learnt).count() == 0
+
+
+def test_lm_long_runs():
+    model = lattice.load_vocabulary("piece_bpe_32k.model")
+    run = "abcde" * 40_000  # one word of 200,000 characters
+    got = model.word_scores([run, "abcde" * 3, *["zz" + "y" * 100] * 20])
+    assert np.isfinite(got).all() and got[0] < got[1] < 0
+    assert got[1] == pytest.approx(math.log(lattice_total(model, lattice.MARK + "abcde" * 3))) and len(set(got[2:])) == 1
 
 
 def test_stages(spark):

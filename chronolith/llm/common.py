@@ -72,10 +72,12 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str, rows_per_batch: int = 0) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_batch: int = 0, few: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors. The step's
-    shuffle files are removed once the table stands. rows_per_batch: of Arrow batches, where rows are large."""
+    shuffle files are removed once the table stands. rows_per_batch: of Arrow batches, where rows are large. few: the
+    table is much smaller than the input; a few tasks a core write it, each from several partitions in turn."""
     spark = df.sparkSession
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
     path = new_path(spark, name)
     own = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
     if rows_per_batch:

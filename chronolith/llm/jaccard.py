@@ -6,15 +6,21 @@ sets from above, and the upper corner of an R-tree node does so for all points b
 the size of a set (a group for one or two shingles), so the bound tells sets of all sizes apart; points of neighbouring
 resolutions are compared by folding the finer one.
 
-One tree over a corpus prunes nothing near its root in so many dimensions, so the index is a forest: a tree for every
-block of documents that share one of the rarest quarter of their shingles, which any two sets of the wanted similarity
-must share. Equal blocks are one. Every document of a block searches the block's trees, whose leaves are ordered by size,
-and pairs that the trees let through are verified on the sets themselves.
-
-No group's pairs are all written. A block with few candidate pairs gives all of them; one with many gives, of each
+One tree over a corpus prunes nothing near its root in so many dimensions, so the index is a forest. Sets of the wanted
+similarity share one of the rarest quarter of their shingles (their prefix, in any one order of all shingles). Documents
+that share such a shingle are a block, and blocks that have their document of smallest hash in common are one tree's
+points. Every document of a tree's searches it, its leaves are ordered by size, and pairs that the tree lets through are
+verified on the sets themselves.
+
+The order of shingles puts those first whose hash is in a fixed part of its range (CLASS) and that few documents have.
+Their document frequencies are counted exactly. A document that has as many shingles of its own there as its prefix is
+long has no partner and goes no further, so what is left grows with the repetition in a corpus. Shingles that are known to
+be common come last.
+
+No group's pairs are all written. A tree with few candidate pairs gives all of them; one with many gives, of each
 document, the likeliest and one that all are likely to share, and stays open. Once those are verified and components
-known, open blocks are searched again for pairs across components: first the likeliest of each document and component,
-then, as long as components stay apart, all the rest. Blocks have a bounded size. What is beyond is cut into parts, a few
+known, open trees are searched again for pairs across components: first the likeliest of each document and component,
+then, as long as components stay apart, all the rest. Trees have a bounded size. Blocks beyond are cut into parts, a few
 rows of each part meet in a block of a higher level, and the whole is searched across components in tiles of parts.
 Components are found by label propagation over tables.
 
@@ -33,19 +39,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import done_with, map_arrow, stored, table
 
 WORDS = 5
+CLASS = 3 << 61  # hashes below, three eighths of all, come first in the order of shingles
 BLOCK = 256  # documents of a block
+TREE = 4  # blocks' worth of documents of a tree
 BLOCK_SHINGLES = 1 << 22  # their shingles
 TOPS = 3  # documents of a part that stand for it on the next level
 HOT = 8192  # documents from which a known shingle is dealt to several tasks
 COMMON = 200_000  # shingles whose frequency the workers know
 FANOUT = 16
 LEAST_GROUPS, MOST_GROUPS = 4, 16  # powers of two
+_CELLS = 1 << 22  # of points compared at once
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -120,7 +129,7 @@ def needed(a, b, percent: int):
 
 def counts_of(s: np.ndarray) -> bytes:
     """The point of a set: how many of its shingles each group has, in the smallest width that holds them."""
-    power = min(MOST_GROUPS, max(LEAST_GROUPS, len(s).bit_length() - 1))
+    power = int(power_of(np.array([len(s)]))[0])
     c = np.bincount((s & _U((1 << power) - 1)).astype(np.int64), minlength=1 << power)
     width = 1 if c.max(initial=0) < 256 else 4
     return bytes([width]) + c.astype(f"<u{width}").tobytes()
@@ -149,47 +158,56 @@ class CountVectorTree:
             at = np.arange(0, len(p), FANOUT)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def search(self, q: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the points whose sets may be similar to a set of this size at point q, and bounds of the overlap."""
-        alive = np.arange(len(self.levels[-1][0]))
+    def search(self, q: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries at points q: positions of queries and of points whose sets may be similar, and bounds of their
+        overlaps."""
+        top = len(self.levels[-1][0])
+        at, node = np.repeat(np.arange(len(q)), top), np.tile(np.arange(top), len(q))
         bound = np.zeros(0, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             corners, least, most = self.levels[depth]
-            alive = alive[(percent * least[alive] <= 100 * size) & (100 * most[alive] >= percent * size)]
-            bound = np.minimum(corners[alive], q).sum(1, dtype=np.int64)
-            ok = bound >= needed(size, least[alive], percent)
-            alive, bound = alive[ok], bound[ok]
+            ok = (percent * least[node] <= 100 * sizes[at]) & (100 * most[node] >= percent * sizes[at])
+            at, node = at[ok], node[ok]
+            step = max(1, _CELLS // corners.shape[1])
+            bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(corners[node[k : k + step]], q[at[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(at), step))])
+            ok = bound >= needed(sizes[at], least[node], percent)
+            at, node, bound = at[ok], node[ok], bound[ok]
             if depth:
-                below = (alive[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                alive = below[below < len(self.levels[depth - 1][0])]
-        return self.order[alive], bound
+                below = node[:, None] * FANOUT + np.arange(FANOUT)
+                real = below < len(self.levels[depth - 1][0])
+                at, node = np.repeat(at, FANOUT)[real.ravel()], below[real]
+        return at, self.order[node], bound
+
+
+def power_of(n: np.ndarray) -> np.ndarray:
+    """The resolution of the points of sets of these sizes, as a power of two."""
+    return np.clip(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
+
 
+def matrix(points: list[np.ndarray]) -> np.ndarray:
+    return np.array(points, np.uint8 if all(x.dtype == np.uint8 for x in points) else np.uint32)
 
-def candidates(asks: list[int], held: list[int], n: np.ndarray, points: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each position of asks that has any: the positions of held whose sets may be similar, and how much so at most.
 
-    A tree holds points of one resolution. Similar sets are at most one power of two apart, so a point searches the tree
-    of its own resolution, folded the one below, and the one above with that tree's points folded.
+def candidates(asks: np.ndarray, held: np.ndarray, n: np.ndarray, points: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in asks and in held of documents whose sets may be similar, and how similar they are at most.
+
+    A tree holds points of one resolution. Similar sets are at most one power of two apart, so documents search the tree
+    of their own resolution, folded the one below, and the one above with that tree's points folded.
     """
-    classes: dict[int, list[int]] = {}
-    for j in held:
-        classes.setdefault(len(points[j]), []).append(j)
-    trees = {g: CountVectorTree(np.array([points[j] for j in js]), n[js]) for g, js in classes.items()}
-    lower: dict[int, CountVectorTree] = {}
-    for i in asks:
-        q, size, g = points[i], int(n[i]), len(points[i])
-        got, bounds = [], []
-        for h in (g // 2, g, 2 * g):
-            if h not in trees:
-                continue
-            if h > g and h not in lower:
-                lower[h] = CountVectorTree(folded(np.array([points[j] for j in classes[h]])), n[classes[h]])
-            at, bound = (lower if h > g else trees)[h].search(folded(q) if h < g else q, size, percent)
-            got.append(np.array(classes[h], np.int64)[at])
-            bounds.append(bound)
-        if got and sum(map(len, got)):
-            js, bound = np.concatenate(got), np.concatenate(bounds)
-            yield i, js, bound / np.maximum(1, size + n[js] - bound)
+    power = power_of(n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    for g in np.unique(power[held]):
+        js = held[power[held] == g]
+        own = matrix([points[j] for j in js])
+        tree = CountVectorTree(own, n[js])
+        for h in (g - 1, g, g + 1):
+            qs = asks[power[asks] == h]
+            if len(qs):
+                q = matrix([points[i] for i in qs])
+                i, j, bound = (CountVectorTree(folded(own), n[js]) if h < g else tree).search(folded(q) if h > g else q, n[qs], percent)
+                found.append((qs[i], js[j], bound))
+    i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, bound / np.maximum(1, n[i] + n[j] - bound)
 
 
 def common_shingles(docs: DataFrame) -> dict[int, int]:
@@ -216,7 +234,7 @@ def common_shingles(docs: DataFrame) -> dict[int, int]:
                     seen.clear()
         yield out()
 
-    found = stored(map_arrow(docs, count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "common")
+    found = stored(map_arrow(docs, count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "common", few=True)
     step = F.floor(F.log2("c") * 8).cast("int")
     least, held = 1 << 30, 0
     for r in sorted(found.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
@@ -232,70 +250,97 @@ def _salt(h: int, part: int) -> int:
     return int(_mix(np.array([(h + 0x9E3779B97F4A7C15 * (part + 1)) % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
-_DOCS = "id bigint, n bigint, digest binary, d bigint, point binary, prefix array<bigint>"
+_DOCS = "id bigint, n bigint, digest binary, d bigint, point binary, p int, first array<bigint>, rest array<bigint>"
 
 
 def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFrame:
-    """Of each document the size and digest of its set and, of the first of equal sets in a task, the point and the
-    prefix. A shingle that is known to be hot is replaced by one of its keys, by the document's id."""
+    """Of each document the size and digest of its set and, of the first of equal sets in a task, the point, the length p
+    of its prefix, all shingles that come first in the order (by CLASS), and, if they are fewer than p, the next ones.
+
+    A shingle that is known to be hot is replaced by one of its keys, by the document's id.
+    """
     keys = np.array(sorted(common, key=lambda k: k % (1 << 64)), np.int64)
     times = np.array([common[int(k)] for k in keys], np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((keys.view(np.uint64), times))
-    hot_from = HOT
+    hot_from, first_class = HOT, _U(CLASS)
+
+    def beyond(i: int, s: np.ndarray, t: np.ndarray, most: int) -> np.ndarray:
+        """Keys of the rarest `most` of known shingles s, which t documents have."""
+        order = np.lexsort((s, t))[:most]
+        keys = s[order].view(np.int64).copy()
+        for k in np.nonzero(t[order] > hot_from)[0]:
+            parts = -(-int(t[order[k]]) // hot_from)
+            keys[k] = _salt(int(keys[k]), int(_mix(np.array([i], np.int64).view(np.uint64))[0] % _U(parts)))
+        return keys
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = sent.value
-        first: set[bytes] = set()
+        known: set[bytes] = set()
         for batch in batches:
             for ids, texts in _chunks(batch):
-                n, digests, points, prefixes = [], [], [], []
+                n, digests, points, lengths, firsts, rests = [], [], [], [], [], []
                 for i, s in zip(ids, shingle_sets(texts), strict=True):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
                     digests.append(digest)
-                    if i is None or not len(s) or digest in first:
-                        points.append(None)
-                        prefixes.append(None)
+                    if i is None or not len(s) or digest in known:
+                        for column in (points, lengths, firsts, rests):
+                            column.append(None)
                         continue
-                    if len(first) > 300_000:
-                        first.clear()
-                    first.add(digest)
+                    if len(known) > 300_000:
+                        known.clear()
+                    known.add(digest)
                     points.append(counts_of(s))
                     p = len(s) - (-(-percent * len(s) // 100)) + 1
                     at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
                     is_common = often[at] == s if len(often) else np.zeros(len(s), bool)
-                    prefix = s[~is_common][:p].view(np.int64)
-                    if len(prefix) < p:
-                        c, t = s[is_common], times[at[is_common]]
-                        order = np.lexsort((c, t))[: p - len(prefix)]
-                        keys = c[order].view(np.int64).copy()
-                        for k in np.nonzero(t[order] > hot_from)[0]:
-                            parts = -(-int(t[order[k]]) // hot_from)
-                            keys[k] = _salt(int(keys[k]), int(_mix(np.array([i], np.int64).view(np.uint64))[0] % _U(parts)))
-                        prefix = np.concatenate([prefix, keys])
-                    prefixes.append(prefix)
+                    rare = s[~is_common]
+                    cut = int(np.searchsorted(rare, first_class))
+                    rest = rare[cut : cut + max(0, p - cut)].view(np.int64)
+                    if cut + len(rest) < p:
+                        rest = np.concatenate([rest, beyond(i, s[is_common], times[at[is_common]], p - cut - len(rest))])
+                    lengths.append(p)
+                    firsts.append(rare[:cut].view(np.int64))
+                    rests.append(rest)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                d = [int.from_bytes(x[:8], "little", signed=True) for x in digests]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digests], pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "d", "point", "prefix"],
+                    [pa.array(c, k) for c, k in zip((ids, n, digests, d, points, lengths, firsts, rests), kinds, strict=True)], names=["id", "n", "digest", "d", "point", "p", "first", "rest"]
                 )
 
     return map_arrow(docs, describe, _DOCS)
 
 
-_BLOCKS = "kind int, key binary, ids array<bigint>, h bigint, id bigint, n bigint, d bigint"
+def prefixes(whole: DataFrame) -> DataFrame:
+    """key, id, n and d for every shingle of a document's prefix that some other document may share.
+
+    Of the shingles that come first in the order, those that only one document has are counted, not listed: the prefix
+    holds them before all others.
+    """
+    rows = whole.where("p is not null")
+    met = rows.select(F.explode("first").alias("key"), "id", "n", "d", (F.col("p") - F.size("first")).alias("over"))
+    shared = met.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    own = Window.partitionBy("id", "d")
+    placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
+    chosen = placed.where(F.col("place") <= F.col("over") + F.col("all"))
+    return chosen.select("key", "id", "n", "d").unionByName(rows.select(F.explode("rest").alias("key"), "id", "n", "d"))
+
+
+_BLOCKS = "kind int, hub bigint, ids array<bigint>, h bigint, id bigint, n bigint, d bigint"
 _BLOCK, _TOP, _LONG = 0, 1, 2
 
 
 class _Cutter:
-    """Cuts rows that share a key into blocks. Gathers rows of _BLOCKS: blocks (ids under a digest of them), and of what
-    is too long for one block, all rows and the few that stand for a part on the next level."""
+    """Cuts rows that share a key into blocks. Gathers rows of _BLOCKS: blocks (ids, and that with the smallest hash), and
+    of what is too long for one block, all rows and the few that stand for a part on the next level."""
 
     def __init__(self, percent: int, shingle_of: dict[int, int], size: int):
         self.percent, self.shingle_of, self.size = percent, shingle_of, size
-        self.seen: set[bytes] = set()
+        self.seen: set[tuple[int, int]] = set()
         self.rows: list[tuple] = []
 
     def run(self, key: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, long: bool) -> None:
+        """All rows of a key, or, if it is long, some: in parts of a bounded size."""
         long = long or key in self.shingle_of
         h = self.shingle_of.get(key, key)
         start, total = 0, np.cumsum(n)
@@ -303,36 +348,40 @@ class _Cutter:
             end = int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_SHINGLES, "right"))
             end = min(max(end, start + 1), start + self.size, len(ids))
             long = long or end < len(ids)
-            self.part(h, ids[start:end], n[start:end], d[start:end], long)
+            self.parts(np.zeros(end - start, np.int64), ids[start:end], n[start:end], d[start:end], h if long else None)
             start = end
 
-    def part(self, h: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, long: bool) -> None:
-        """Rows of one part, sorted by d: equal sets are one row; sizes that are too far apart do not share a block."""
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (n[1:] != n[:-1])])
-        if not new.all():
-            at = np.nonzero(new)[0]
-            ids, n, d = np.minimum.reduceat(ids, at), n[at], d[at]
-        order = np.argsort(n, kind="stable")
-        ids, n, d = ids[order], n[order], d[order]
-        edges = np.nonzero(100 * n[:-1] < self.percent * n[1:])[0] + 1
-        for a, b in zip([0, *edges], [*edges, len(ids)], strict=True):
-            if long:
-                self.rows += [(_LONG, None, None, h, int(i), int(m), None) for i, m in zip(ids[a:b], n[a:b], strict=True)]
+    def parts(self, run: np.ndarray, ids: np.ndarray, n: np.ndarray, d: np.ndarray, h: int | None) -> None:
+        """Rows of parts (numbered by run), each sorted by d: equal sets are one row; sizes that are too far apart do not
+        share a block. h: the shingle of a part of a long key."""
+        new = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])]))[0]
+        run, ids, n, d = run[new], np.minimum.reduceat(ids, new), n[new], d[new]
+        order = np.lexsort((d, n, run))
+        run, ids, n, d = run[order], ids[order], n[order], d[order]
+        starts = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (100 * n[:-1] < self.percent * n[1:])]))[0]
+        ends = np.concatenate([starts[1:], [len(run)]])
+        if h is not None:
+            self.rows += [(_LONG, None, None, h, int(i), int(m), None) for i, m in zip(ids, n, strict=True)]
+            for a, b in zip(starts, ends, strict=True):
                 self.rows += [(_TOP, None, None, h, int(ids[k]), int(n[k]), int(d[k])) for k in a + np.argsort(d[a:b], kind="stable")[:TOPS]]
-            if b - a > 1:
-                whole = np.unique(ids[a:b])
-                key = hashlib.blake2b(whole.tobytes(), digest_size=16).digest()
-                if len(whole) > 1 and key not in self.seen:
-                    if len(self.seen) > 200_000:
-                        self.seen.clear()
-                    self.seen.add(key)
-                    self.rows.append((_BLOCK, key, whole, None, None, None, None))
+        hashes = _mix(ids.view(np.uint64))
+        keys = np.add.reduceat(hashes, starts), np.add.reduceat(_mix(hashes), starts)
+        several = np.nonzero(ends - starts > 1)[0]
+        _, first = np.unique(keys[0][several], return_index=True)
+        for x in several[first]:
+            key = int(keys[0][x]), int(keys[1][x])
+            if key not in self.seen:
+                if len(self.seen) > 200_000:
+                    self.seen.clear()
+                self.seen.add(key)
+                a, b = starts[x], ends[x]
+                self.rows.append((_BLOCK, int(ids[a + hashes[a:b].argmin()]), ids[a:b], None, None, None, None))
 
     def out(self) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 4)
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4)
         cols = list(zip(*self.rows, strict=True)) or [()] * len(kinds)
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "ids", "h", "id", "n", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "hub", "ids", "h", "id", "n", "d"])
 
 
 def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int) -> DataFrame:
@@ -348,12 +397,24 @@ def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int)
             key, ids, n, d = (np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns, strict=True))
             edges = np.nonzero(key[1:] != key[:-1])[0] + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            wanted = (ends - starts > 1) | np.isin(key[starts], known)
-            wanted[0] |= long
-            wanted[-1] = False
-            for k in np.nonzero(wanted)[0]:
+            special = (ends - starts > size) | np.isin(key[starts], known)
+            special[0] |= long
+            plain = (ends - starts > 1) & ~special
+            plain[-1] = special[-1] = False
+            for k in np.nonzero(special)[0]:
                 a, b = starts[k], ends[k]
                 cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], long and k == 0)
+            if plain.any():
+                lengths = ends - starts
+                at = np.repeat(plain, lengths)
+                run = np.repeat(np.arange(len(starts)), lengths)[at]
+                heavy = np.bincount(run, n[at], len(starts)) > BLOCK_SHINGLES
+                for k in np.nonzero(heavy)[0]:
+                    a, b = starts[k], ends[k]
+                    cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], False)
+                light = ~heavy[run]
+                if light.any():
+                    cutter.parts(run[light], ids[at][light], n[at][light], d[at][light], None)
             long = long and len(starts) == 1
             a = int(starts[-1])
             if len(key) - a > size:  # whole parts of a key that goes on
@@ -371,10 +432,51 @@ def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int)
     return map_arrow(rows, cut, _BLOCKS)
 
 
-def forest(prefixes: DataFrame, percent: int, shingle_of: dict[int, int], size: int = BLOCK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Distinct blocks (key, ids); rows h, id, n of shingles whose documents are no single block; tables to remove."""
+def packed(lists: DataFrame, most: int) -> DataFrame:
+    """k, k2 and id: the documents of each tree, of blocks (hub, ids) that have their hub in common. A hub has several
+    trees if its blocks have more than `most` documents; every block is in one as a whole."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, number, held = None, 0, set()
+        rows: list[np.ndarray] = []
+
+        def close() -> None:
+            rows.append(np.stack([np.full(len(held), hub), np.full(len(held), number), np.fromiter(held, np.int64, len(held))]))
+
+        def out() -> pa.RecordBatch:
+            found = np.concatenate([np.zeros((3, 0), np.int64), *rows], axis=1)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["k", "k2", "id"])
+
+        for batch in batches:
+            values = batch.column(1)
+            for key, ids in zip(batch.column(0).to_pylist(), values, strict=True):
+                more = ids.values.to_numpy()
+                if key != hub:
+                    if held:
+                        close()
+                    hub, number, held = key, 0, set(more.tolist())
+                    continue
+                grown = held.union(more.tolist())
+                if len(grown) > most and len(grown) > len(held):
+                    close()
+                    number, held = number + 1, set(more.tolist())
+                else:
+                    held = grown
+            if sum(x.shape[1] for x in rows) > 50_000:
+                yield out()
+        if held:
+            close()
+        yield out()
+
+    return map_arrow(lists.select("hub", "ids").repartition("hub").sortWithinPartitions("hub"), pack, "k bigint, k2 bigint, id bigint")
+
+
+def forest(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int = BLOCK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The documents of all trees (k, k2, id); those of shingles whose documents are no single block (hub, id); tables to
+    remove."""
     dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "d")
-    found = [stored(blocks(dealt(prefixes), percent, shingle_of, size), "blocks")]
+    found = [stored(blocks(dealt(rows), percent, shingle_of, size), "blocks", few=True)]
     before = None
     while True:  # each level has far fewer rows
         tops = found[-1].where(F.col("kind") == _TOP)
@@ -382,110 +484,121 @@ def forest(prefixes: DataFrame, percent: int, shingle_of: dict[int, int], size:
         if not n or (before is not None and n >= before):
             break
         before = n
-        found.append(stored(blocks(dealt(tops.select(F.col("h").alias("key"), "id", "n", "d").distinct()), percent, {}, size), "blocks"))
+        found.append(stored(blocks(dealt(tops.select(F.col("h").alias("key"), "id", "n", "d").distinct()), percent, {}, size), "blocks", few=True))
     every = found[0].where(F.col("kind") == _BLOCK)
     for more in found[1:]:
         every = every.unionByName(more.where(F.col("kind") == _BLOCK))
-    distinct = stored(every.select("key", "ids").dropDuplicates(["key"]), "forest")
-    return distinct, found[0].where(F.col("kind") == _LONG).select("h", "id", "n").distinct(), found
+    trees = stored(packed(every, TREE * size), "forest", few=True)
+    long = found[0].where(F.col("kind") == _LONG).select("h", "id")
+    # shingles with a document in common, that of the smallest hash, are one
+    hubs = stored(long.groupBy("h").agg(F.min_by("id", F.xxhash64("id")).alias("hub")), "hubs", few=True)
+    return trees, stored(long.join(hubs, "h").select("hub", "id").distinct(), "long", few=True), [*found, hubs]
 
 
 _FIRST, _BEST, _REST = 0, 1, 2
-_FOUND = "a bigint, b bigint, key binary"
+_FOUND = "a bigint, b bigint, k bigint, k2 bigint"
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come sorted by keys, in tables that cut no group, with the start of each group and the end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        columns = [rows.column(k).to_numpy() for k in keys]
+        edges = np.nonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))[0] + 1
+        if not len(edges):
+            held = rows
+            continue
+        held = rows.slice(edges[-1])
+        yield rows.slice(0, edges[-1]).combine_chunks(), np.concatenate([[0], edges])
+    if held is not None and len(held):
+        yield held.combine_chunks(), np.array([0, len(held)])
+
+
+def points_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Points without a copy."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset)
+        data = np.frombuffer(chunk.buffers()[2], np.uint8)
+        out += [data[a + 1 : b] if data[a] == 1 else data[a + 1 : b].copy().view("<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
 
 
 def search(members: DataFrame, percent: int, mode: int) -> DataFrame:
-    """Pairs a, b that the trees of each block let through; members has key, id, n, point, side (1 asks, 2 is held, 3
-    both) and label. Blocks that have more than the pairs given come as a row of key alone.
+    """Pairs a, b that the trees of each block let through; members has k, k2, id, n, point, side (1 asks, 2 is held, 3
+    both) and label. Blocks that have more than the pairs given come as a row of k and k2 alone.
 
     Mode _FIRST gives all pairs of a block with few, else of each document the likeliest and that with the smallest hash
     (so that documents of many blocks agree on it). The other modes give pairs across labels: of each document the
     likeliest with each label, or all.
     """
 
+    def block(ids: np.ndarray, n: np.ndarray, points: list[np.ndarray], side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        i, j, likely = candidates(np.nonzero(side & 1)[0], np.nonzero(side & 2)[0], n, points, percent)
+        ok = (ids[i] != ids[j]) if mode == _FIRST else (ids[i] != ids[j]) & (label[i] != label[j])
+        i, j, likely = i[ok], j[ok], likely[ok]
+        if not len(i) or mode == _REST or (mode == _FIRST and len(i) <= 4 * len(ids)):
+            return i, j, False
+        if mode == _BEST:
+            order = np.lexsort((ids[j], -likely, label[j], i))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], (i[1:] != i[:-1]) | (label[j][1:] != label[j][:-1])])
+            return i[new], j[new], False
+        out = []
+        hashes = _mix(ids.view(np.uint64))
+        for order in (np.lexsort((ids[j], -likely, i)), np.lexsort((hashes[j], i))):
+            x, y = i[order], j[order]
+            new = np.concatenate([[True], x[1:] != x[:-1]])
+            out.append((x[new], y[new]))
+        down = hashes[out[1][1]] < hashes[out[1][0]]
+        return np.concatenate([out[0][0], out[1][0][down]]), np.concatenate([out[0][1], out[1][1][down]]), True
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        a: list[int] = []
-        b: list[int] = []
-        keys: list[bytes | None] = []
-
-        def give(i: int, j: int) -> None:
-            two = (i, j) if i < j else (j, i)
-            if two not in done:
-                if len(done) > 200_000:
-                    done.clear()
-                done.add(two)
-                a.append(two[0])
-                b.append(two[1])
-                keys.append(None)
-
-        def block(key: bytes, ids: list[int], n: list[int], points: list[np.ndarray], side: list[int], label: list[int]) -> None:
-            own, marks = np.array(ids), np.array(label)
-            got, total = [], 0
-            for i, js, likely in candidates([k for k, x in enumerate(side) if x & 1], [k for k, x in enumerate(side) if x & 2], np.array(n), points, percent):
-                ok = (own[js] != own[i]) & ((marks[js] != marks[i]) if mode != _FIRST else True)
-                if ok.any():
-                    got.append((i, js[ok], likely[ok]))
-                    total += int(ok.sum())
-            if mode == _REST or (mode == _FIRST and total <= 4 * len(ids)):
-                for i, js, _ in got:
-                    for j in js:
-                        give(ids[i], ids[j])
-                return
-            for i, js, likely in got:
-                order = np.lexsort((own[js], -likely))
-                if mode == _BEST:
-                    _, at = np.unique(marks[js[order]], return_index=True)
-                    for j in js[order[at]]:
-                        give(ids[i], ids[j])
-                    continue
-                give(ids[i], ids[js[order[0]]])
-                hashes = _mix(own[js].view(np.uint64))
-                if hashes.min() < _mix(own[i : i + 1].view(np.uint64))[0]:
-                    give(ids[i], ids[js[hashes.argmin()]])
-            if mode == _FIRST:
-                a.append(None)
-                b.append(None)
-                keys.append(key)
+        pairs: list[np.ndarray] = []
+        more: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary())], names=["a", "b", "key"])
-            a.clear(), b.clear(), keys.clear()
-            return found
-
-        held = None, [], [], [], [], []
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "id", "n", "point", "side", "label")]
-            for key, i, n, p, side, label in zip(*cols, strict=True):
-                if key != held[0]:
-                    if len(held[1]) > 1:
-                        block(*held)
-                    held = key, [], [], [], [], []
-                for column, x in zip(held[1:], (i, n, point(p), side, i if label is None else label), strict=True):
-                    column.append(x)
-            if len(a) > 20_000:
+            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+            a, b = [*both[:, 0], *[None] * len(more)], [*both[:, 1], *[None] * len(more)]
+            k, k2 = [[*[None] * len(both), *(x[c] for x in more)] for c in (0, 1)]
+            pairs.clear(), more.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, k, k2)], names=["a", "b", "k", "k2"])
+
+        for rows, edges in whole_groups(batches, ("k", "k2")):
+            ids, n, side, k, k2 = (rows.column(c).to_numpy() for c in ("id", "n", "side", "k", "k2"))
+            label = ids if mode == _FIRST else rows.column("label").to_numpy()
+            points = points_of(rows.column("point"))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    i, j, still_open = block(ids[a:b], n[a:b], points[a:b], side[a:b], label[a:b])
+                    if len(i):
+                        x, y = ids[a:b][i], ids[a:b][j]
+                        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    if still_open:
+                        more.append((int(k[a]), int(k2[a])))
+            if sum(map(len, pairs)) > 20_000:
                 yield out()
-        if len(held[1]) > 1:
-            block(*held)
         yield out()
 
-    rows = members.select("key", "id", "n", "point", "side", "label").repartition("key").sortWithinPartitions("key")
+    rows = members.select("k", "k2", "id", "n", "point", "side", F.coalesce("label", "id").alias("label")).repartition("k").sortWithinPartitions("k", "k2")
     return map_arrow(rows, find, _FOUND)
 
 
 def tiles(long: DataFrame, labels: DataFrame, size: int = BLOCK) -> DataFrame:
-    """key, id and side: of each shingle whose documents are in several components, the documents outside its largest
+    """k, k2, id and side: of each long block whose documents are in several components, the documents outside its largest
     component against all, in tiles of bounded parts."""
-    own = long.join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
-    sizes = own.groupBy("h", "label").agg(F.count("*").alias("rows"))
-    main = sizes.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("rows")).where("rows > most")
-    main = stored(main.select("h", "main", F.ceil(F.col("rows") / size).cast("int").alias("parts"), F.ceil((F.col("rows") - F.col("most")) / size).cast("int").alias("outer")), "main")
-    both = own.join(main, "h")
+    own = long.join(labels, "id", "left").select("hub", "id", F.coalesce("label", "id").alias("label"))
+    sizes = own.groupBy("hub", "label").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("rows")).where("rows > most")
+    main = stored(main.select("hub", "main", F.ceil(F.col("rows") / size).cast("int").alias("parts"), F.ceil((F.col("rows") - F.col("most")) / size).cast("int").alias("outer")), "main", few=True)
+    both = own.join(main, "hub")
     part = lambda col, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(col)).cast("int")
     each = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
-    asks = both.where("label <> main").select("h", "id", part("outer", "i").alias("i"), each("parts").alias("j"), F.lit(1).alias("side"))
-    held = both.select("h", "id", each("outer").alias("i"), part("parts", "j").alias("j"), F.lit(2).alias("side"))
-    return asks.unionByName(held).select(F.unhex(F.md5(F.concat_ws(",", "h", "i", "j").cast("binary"))).alias("key"), "id", "side")
+    asks = both.where("label <> main").select("hub", "id", part("outer", "i").alias("i"), each("parts").alias("j"), F.lit(1).alias("side"))
+    held = both.select("hub", "id", each("outer").alias("i"), part("parts", "j").alias("j"), F.lit(2).alias("side"))
+    return asks.unionByName(held).select(F.xxhash64("hub", "i", "j").alias("k"), F.xxhash64("j", "hub", "i").alias("k2"), "id", "side")
 
 
 BITS = 1 << 23
@@ -542,7 +655,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = stored(map_arrow(both, verify, "a bigint, b bigint").distinct(), "links", SETS_PER_BATCH)
+    links = stored(map_arrow(both, verify, "a bigint, b bigint").distinct(), "links", SETS_PER_BATCH, few=True)
     done_with(sets)
     return links
 
@@ -550,13 +663,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id and label (smallest reachable id) of all ids in edges a, b: neighbours' smallest labels, then the label's
     own label, until nothing changes. Every round is a written table."""
-    arcs = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs")
-    old = labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    arcs = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs", few=True)
+    old = labels = stored(arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", few=True)
     while True:
         near = arcs.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         jumped = least.join(labels.select(F.col("id").alias("next"), F.col("label").alias("jump")), "next", "left")
-        new = stored(jumped.select("id", F.coalesce("jump", "next").alias("label"), (F.coalesce("jump", "next") != F.col("label")).alias("moved")), "labels")
+        new = stored(jumped.select("id", F.coalesce("jump", "next").alias("label"), (F.coalesce("jump", "next") != F.col("label")).alias("moved")), "labels", few=True)
         done_with(old)
         old, labels = new, new.select("id", "label")
         if not new.where("moved").limit(1).count():
@@ -570,7 +683,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("in_a", "a").alias("a"), F.coalesce("in_b", "b").alias("b")).where("a <> b")
     joined = components(ends)
     moved = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return stored(moved.unionByName(joined.join(labels, "id", "left_anti").select("id", "label")), "labels")
+    return stored(moved.unionByName(joined.join(labels, "id", "left_anti").select("id", "label")), "labels", few=True)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = BLOCK) -> DataFrame:
@@ -579,30 +692,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common_shingles(rows)
     shingle_of = {_salt(h, part): h for h, c in common.items() if c > HOT for part in range(-(-c // HOT))}
     whole = stored(described(rows, common, percent), "described")
-    nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes")
+    nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
     points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
-    trees, long, spent = forest(whole.where("prefix is not null").select(F.explode("prefix").alias("key"), "id", "n", "d"), percent, shingle_of, block)
+    trees, long, spent = forest(prefixes(whole), percent, shingle_of, block)
     done_with(whole)
     # ids of equal sets, and of several sets under one id
-    same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied")
+    same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied", few=True)
     several = nodes.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
     twice = nodes.join(same, "digest").select("id", "least", "first")
     equal = twice.where("first").select(F.col("least").alias("a"), F.col("id").alias("b")).unionByName(twice.join(several, "id").select(F.col("least").alias("a"), F.col("id").alias("b")))
-    in_blocks = lambda table: table.select("key", F.explode("ids").alias("id"))
-    first = in_blocks(trees).join(points, "id").select("*", F.lit(3).alias("side"), F.lit(None).cast("long").alias("label"))
-    found = stored(search(first, percent, _FIRST), "found")
-    tested = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
-    still_open = found.where("key is not null").select("key").distinct()
+    first = trees.join(points, "id").select("*", F.lit(3).alias("side"), F.lit(None).cast("long").alias("label"))
+    found = stored(search(first, percent, _FIRST), "found", few=True)
+    tested = stored(found.where("a is not null").select("a", "b").distinct(), "pairs", few=True)
+    still_open = found.where("k is not null").select("k", "k2").distinct()
     labels = components(verified(tested, rows, percent).unionByName(equal.where("a <> b").distinct()))
     for mode in (_BEST, _REST):
-        own = in_blocks(trees.join(still_open, "key", "left_semi")).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        apart = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        asked = own.join(apart, "key", "left_semi").select("key", "id", F.lit(3).alias("side"))
-        asked = stored(asked.unionByName(tiles(long, labels, block)), "asked")
+        own = trees.join(still_open, ["k", "k2"], "left_semi").join(labels, "id", "left").select("k", "k2", "id", F.coalesce("label", "id").alias("label"))
+        apart = own.groupBy("k", "k2").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k", "k2")
+        asked = own.join(apart, ["k", "k2"], "left_semi").select("k", "k2", "id", F.lit(3).alias("side"))
+        asked = stored(asked.unionByName(tiles(long, labels, block)), "asked", few=True)
         if not asked.limit(1).count():
             break
         across = search(asked.join(points, "id").join(labels, "id", "left"), percent, mode)
-        more = stored(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs", few=True)
         if more.limit(1).count():
             labels = merged(labels, verified(more, rows, percent))
             tested = tested.unionByName(more)

@@ -47,7 +47,7 @@ def test_mixing(spark):
     sources = {k: rng.choice(["big"] * 6 + ["a", "é", "", None, "z"]) for k in range(len(texts))}
     df = docs(spark, texts, sources=sources).repartition(5)
     rows = mixing.mix(df).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(df.coalesce(1)).collect())) if None not in sources.values() else len(rows) == len(texts)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.coalesce(1)).collect())) and len(rows) == len(texts)  # reruns agree
     by = {}
     for r in rows:
         assert r["taken"] <= 2 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
@@ -73,6 +73,26 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_prefers_long_documents(spark):
+    """The second copy of a document: likelier the longer it is, never sure, and as the ranking by brute force has it."""
+    rng = random.Random(18)
+    texts = [words(rng, 10 if k % 2 else 90) for k in range(800)]
+    rows = mixing.mix(docs(spark, texts), weights=(1,), share=0.5).collect()
+    size = {r["doc_id"]: r["size"] for r in rows}
+    total, mean = sum(size.values()), sum(size.values()) / 800
+    u = {k: (int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for k in size}
+    want, held = set(), 0
+    for k in sorted(size, key=lambda k: u[k] / (1 - u[k]) / (size[k] / mean)):
+        if 2 * (held + size[k]) - size[k] > total:
+            break
+        held += size[k]
+        want.add(k)
+    got = {r["doc_id"] for r in rows if r["taken"]}
+    assert got == want
+    long, short = sum(k % 2 == 0 for k in got), sum(k % 2 for k in got)
+    assert 3 * short < long < 400 and short > 0
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "é" * 100 + "\r\n\r\nWARC/1.1</p>"
     pages = [(5, "http://a/x y\n", long), (3, None, long), (9, "u", long), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "z" * 100), (None, "u", long)]
@@ -116,6 +136,48 @@ def test_main_text_template_in_article(spark):
     assert all(text[k] == ["One title", "One whole story"] for k in range(10, 14))
 
 
+def test_main_text_meaningless_names(spark):
+    """No element or class name tells anything: only what the host's pages share separates the text."""
+    page = lambda k: (
+        k, "http://q.test/", f"<body><div class=q1><p>Home of qq</p><p>Go on</p></div><div class=q2><div class=q3>Words of today</div><p>Story {k} begins</p>"
+        + "".join(f"<p>It goes on {k} {j}</p>" for j in range(k % 4)) + "<div class=q4>Write to us</div></div><div class=q5>All rights</div></body>"
+    )
+    got = template.extract(spark.createDataFrame([page(k) for k in range(8)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: "\n\n".join([f"Story {k} begins", *(f"It goes on {k} {j}" for j in range(k % 4))]) for k in range(8)}
+
+
+def test_equivalence_classes(spark):
+    """Classes are the tokens with equal occurrence vectors, as a comparison of all vectors finds them."""
+    rng = random.Random(17)
+    pieces = ["<b>", "</b>", "<p>", "</p>", "<i class=a>", "one", "two", "<div id=x>", "<br>", "three"]
+    pages = [(k, f"h{k % 3}" if k % 7 else None, "".join(p * rng.choice([1, 1, 1, 2, 0]) + f"<u id=n{rng.randrange(30)}>" for p in pieces)) for k in range(24)]
+    got = {}
+    for r in template.templates(spark.createDataFrame(pages, "id long, host string, html string").repartition(5)).collect():
+        got[r["of"]] = sorted(sorted(c["tokens"]) for c in r["classes"])
+    want = {}
+    for host in {h for _, h, _ in pages}:
+        found = [template.occurrences(html) for _, h, html in pages if h == host]
+        by = {}
+        for token in set().union(*found):
+            vector = tuple(f[token] for f in found)
+            if sum(map(bool, vector)) >= max(template.MIN_PAGES, template.SUPPORT * len(found)):
+                by.setdefault(vector, []).append(token)
+        if classes := sorted(sorted(x) for x in by.values() if len(x) >= template.MIN_CLASS):
+            want[host] = classes
+    assert got == want and want
+
+
+def test_template_nesting():
+    page = list(template.tokens("<a><b><c></c></b></a><d><e></d></e>"))
+    keys = [template.key_of(*t) for t in page]
+    outer, inner, cross = [keys[0], keys[5]], [keys[1], keys[4]], [keys[2], keys[6]]
+    of = lambda *classes: template.template_tokens(page, [{"tokens": c} for c in classes])
+    assert page[0][1] == "a" and set(of(outer, inner)) == {0, 1, 4, 5}
+    assert set(of(inner, outer)) == {0, 1, 4, 5}
+    assert set(of(outer, cross)) == {0, 5}  # begins in a slot of the first and ends outside
+    assert template.nests((1, 9), (3, 5)) and template.nests((3, 5), (1, 9)) and not template.nests((1, 5), (3, 9)) and not template.nests((1, 4, 9), (3, 5))
+
+
 def test_main_text_names_in_article(spark):
     page = lambda k, extra="": (
         k, "http://w.test/", f"<body><article><header class='entry-header'><h1>Title {k}</h1></header><h2 id=related-work>Prior work {k}</h2><p>Long story {k} at <span class=share-price>1{k}</span>."
@@ -252,8 +314,8 @@ def test_count_vector_trees():
         kept = sets[k][rng.random(len(sets[k])) > 0.1]
         sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 60, 4, dtype=np.uint64)])))
     n, points = np.array([len(s) for s in sets]), [jaccard.point(jaccard.counts_of(s)) for s in sets]
-    every = list(range(len(sets)))
-    got = {(i, int(j)) for i, js, _ in jaccard.candidates(every, every, n, points, 75) for j in js}
+    every = np.arange(len(sets))
+    got = {(int(i), int(j)) for i, j in zip(*jaccard.candidates(every, every, n, points, 75)[:2])}
     for i in every:
         for j in every:
             same = len(np.intersect1d(sets[i], sets[j]))

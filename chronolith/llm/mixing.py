@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-Every source gets a target number of words. A document's inclusion is the share of its source that the target asks for;
-whole copies are certain, and the remaining fraction p is the probability of one more copy. The documents of a source
-are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and the sample is the start of that
-ranking whose size is nearest to the words still missing: a sample of fixed size with unequal probabilities between
-sources.
+Every source gets a target number of words. Its whole copies are certain; the remaining fraction p is the share of the
+source's words that one more copy of some documents must give. A document's inclusion odds for that copy are p / (1 - p)
+times its size over the mean size of its source's documents with words, so a longer document is likelier to be taken, at
+a probability below one. The documents of a source are ranked by their random odds u / (1 - u) over their inclusion odds,
+and the sample is the start of that ranking whose size is nearest to the words still missing: a sample of fixed size with
+unequal probabilities.
 
 The ranking is never sorted as a whole: documents fall into buckets of the rank, bucket totals give each source's
 boundary bucket, and only the documents of boundary buckets are sorted. One source may hold most rows.
@@ -31,14 +32,14 @@ def word_count(text: str | Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, source_size and target, one row a source.
+    """source, source_size, documents (those with words) and target, one row a source.
 
     Sources in order of code points (null last) have the weights in turn and share `share` times all words by weight.
     No target exceeds `most` times its source; what is cut off is shared by weight among the others until none is
     above. The result of that repetition is reached at once: sources are ordered by the level at which they are full,
     and the level of the others follows from the words and weights that the full ones leave.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("documents"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())  # one row a source
     turn = (F.row_number().over(order) - 1) % len(weights) + 1
     weighted = own.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn)).withColumn("cap", most * F.col("source_size"))
@@ -49,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     levels = weighted.withColumn("level", level).withColumn("full", F.col("cap") / F.col("weight") <= F.col("level"))
     common = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(Window.partitionBy(F.lit(0)))["level"]
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * common)
-    return levels.select("source", "source_size", target.alias("target"))
+    return levels.select("source", "source_size", "documents", target.alias("target"))
 
 
 def draw(id_col: str | Column, seed: str) -> Column:
@@ -73,7 +74,8 @@ def mix(
         "targets",
     )
     u = draw("id", seed)
-    odds = (u / (1 - u)) / F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p")))
+    mean = F.col("source_size") / F.col("documents")
+    odds = (u / (1 - u)) / F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("p") / (1 - F.col("p"))) * (F.col("size") / mean))
     ranked = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rank", odds)
     ranked = ranked.withColumn("bucket", F.floor(BUCKETS * (F.col("rank") / (1 + F.col("rank")))))
     totals = ranked.where("p > 0").groupBy("of", "bucket").agg(F.sum("size").alias("words"))
@@ -103,18 +105,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS documents, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,
              [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM d GROUP BY source),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
                  - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-t AS (SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap
+t AS (SELECT source, source_size, documents, CASE WHEN cap / weight <= level THEN cap
              ELSE weight * (SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight > level) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM t),
 c AS (SELECT *, floor(r) AS copies, r - floor(r) AS p, target - floor(r) * source_size AS missing FROM p),
 u AS (SELECT d.doc_id, d.size, c.*, (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
+q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / ((p / (1 - p)) * (size::DOUBLE / (source_size::DOUBLE / documents::DOUBLE))) END AS rank FROM u),
 b AS (SELECT *, floor(4096 * (rank / (1 + rank))) AS bucket FROM q),
 w AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY bucket, rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b)
 SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN p > 0 AND 2 * upto - size <= 2 * missing THEN 1 ELSE 0 END))::BIGINT AS taken FROM w

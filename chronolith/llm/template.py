@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -118,7 +119,7 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = map_arrow(pages, count, "host string, token bigint, vector bigint, support bigint, total bigint").groupBy("host", "token").agg(
         F.bit_xor("vector").alias("vector"), F.sum("support").alias("support"), F.sum("total").alias("total")
     )
-    often = counted.where(F.col("support") >= MIN_PAGES)  # most stretches of text occur on one page only
+    often = stored(counted.where(F.col("support") >= MIN_PAGES), "counted")  # most stretches of text occur on one page only
     size = often.where("token = 0").select(F.col("host").alias("of"), F.col("support").alias("pages"))
     frequent = often.where("token <> 0").join(size, F.col("host").eqNullSafe(F.col("of"))).where(F.col("support") >= SUPPORT * F.col("pages"))
     # tokens on at least half of a host's pages: no more than two pages' worth
@@ -129,23 +130,37 @@ def templates(pages: DataFrame) -> DataFrame:
 def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> dict[int, int]:
     """Positions of a page's tokens that the host's template holds there, each with the number of its class.
 
-    Classes come most frequent first. A class whose tokens occur once a page must keep inside one slot of the classes
-    before it, or around them; a class of repeated tokens must repeat in turn. Others are not valid on this page.
+    Classes come most frequent first. The tokens of a class must keep one order in each of its rounds on the page, and a
+    class of repeated tokens must repeat in turn. A round must nest with every round of the classes before it: beside it,
+    or as a whole in one slot of it, or around it with the earlier round as a whole in one slot. A class of which a round
+    does not is not valid on this page.
     """
     at: dict[int, list[int]] = {}
     for p, t in enumerate(page):
         at.setdefault(key_of(*t), []).append(p)
     taken: dict[int, int] = {}
+    before: dict[int, tuple[int, ...]] = {}  # by position, the round of a valid class that holds it
+    order: list[int] = []  # its positions
     for number, c in enumerate(classes):
         spots = sorted((at.get(t, []) for t in c["tokens"]), key=lambda x: x[:1])
         if not all(spots) or len({len(x) for x in spots}) != 1:
             continue
         rounds = list(zip(*spots, strict=True))
-        if all(list(r) == sorted(r) for r in rounds) and all(a[-1] < b[0] for a, b in zip(rounds, rounds[1:], strict=False)):
+        if any(list(r) != sorted(r) for r in rounds) or any(a[-1] >= b[0] for a, b in zip(rounds, rounds[1:], strict=False)):
+            continue
+        # a round without a token between the ends of r has r beside it or in one slot
+        if all(nests(r, other) for r in rounds for other in {before[p] for p in order[bisect(order, r[0]) : bisect(order, r[-1])]}):
             taken.update((p, number) for r in rounds for p in r)
+            before.update((p, r) for r in rounds for p in r)
+            order = sorted(before)
     return taken
 
 
+def nests(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether one of two overlapping rounds of sorted positions lies in one slot of the other."""
+    return bisect(a, b[0]) == bisect(a, b[-1]) or bisect(b, a[0]) == bisect(b, a[-1])
+
+
 def furniture_inside(name: str, value: str, repeated: bool) -> bool:
     """Whether an element inside an article is furniture by its class, id or role.
 

@@ -13,8 +13,8 @@ points. Every document of a tree's searches it, its leaves are ordered by size,
 verified on the sets themselves.
 
 The order of shingles puts those first whose hash is in a fixed part of its range (CLASS) and that few documents have.
-Their document frequencies are counted exactly. A document that has as many shingles of its own there as its prefix is
-long has no partner and goes no further, so what is left grows with the repetition in a corpus. Shingles that are known to
+Their document frequencies are counted exactly. A document that has as many shingles there that no document of similar
+size shares as its prefix is long has no partner and goes no further, so what is left grows with the repetition in a corpus. Shingles that are known to
 be common come last.
 
 No group's pairs are all written. A tree with few candidate pairs gives all of them; one with many gives, of each
@@ -311,15 +311,19 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
     return map_arrow(docs, describe, _DOCS)
 
 
-def prefixes(whole: DataFrame) -> DataFrame:
-    """key, id, n and d for every shingle of a document's prefix that some other document may share.
+def prefixes(whole: DataFrame, percent: int) -> DataFrame:
+    """key, id, n and d for every shingle of a document's prefix that some similar document may share.
 
-    Of the shingles that come first in the order, those that only one document has are counted, not listed: the prefix
-    holds them before all others.
+    Of the shingles that come first in the order, those that no other document of a similar size has are counted, not
+    listed: the prefix holds them before all others. That keeps the prefix's promise, as similar documents need to agree
+    on the order of the shingles that they share, and on no other.
     """
     rows = whole.where("p is not null")
     met = rows.select(F.explode("first").alias("key"), "id", "n", "d", (F.col("p") - F.size("first")).alias("over"))
-    shared = met.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    by_size = Window.partitionBy("key").orderBy("n")
+    neighbours = {"df": F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}
+    near = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    shared = met.withColumns(neighbours).where(near).drop("below", "above")
     own = Window.partitionBy("id", "d")
     placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
     chosen = placed.where(F.col("place") <= F.col("over") + F.col("all"))
@@ -694,7 +698,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = stored(described(rows, common, percent), "described")
     nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
     points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
-    trees, long, spent = forest(prefixes(whole), percent, shingle_of, block)
+    trees, long, spent = forest(prefixes(whole, percent), percent, shingle_of, block)
     done_with(whole)
     # ids of equal sets, and of several sets under one id
     same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied", few=True)

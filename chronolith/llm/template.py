@@ -124,13 +124,14 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = often.where("token <> 0").join(size, F.col("host").eqNullSafe(F.col("of"))).where(F.col("support") >= SUPPORT * F.col("pages"))
     # tokens on at least half of a host's pages: no more than two pages' worth
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"), F.max("support").alias("support"), F.max("total").alias("total")).where(F.size("tokens") >= MIN_CLASS)
-    return classes.groupBy(F.col("host").alias("of")).agg(F.sort_array(F.collect_list(F.struct("support", "total", "tokens")), asc=False).alias("classes"))
+    return classes.groupBy(F.col("host").alias("of")).agg(F.sort_array(F.collect_list(F.struct((-F.col("support")).alias("rank"), "total", "support", "tokens"))).alias("classes"))
 
 
 def template_tokens(page: list[tuple[str, str, str]], classes: list[dict]) -> dict[int, int]:
     """Positions of a page's tokens that the host's template holds there, each with the number of its class.
 
-    Classes come most frequent first. The tokens of a class must keep one order in each of its rounds on the page, and a
+    Classes come by the pages that have them, most first, and then by their occurrences, fewest first: from the outside
+    inward. The tokens of a class must keep one order in each of its rounds on the page, and a
     class of repeated tokens must repeat in turn. A round must nest with every round of the classes before it: beside it,
     or as a whole in one slot of it, or around it with the earlier round as a whole in one slot. A class of which a round
     does not is not valid on this page.

@@ -10,6 +10,7 @@ empty result; further columns of the input are ignored, so their names cannot cl
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_arrow, table
 
-# A byte-level pre-tokeniser gives white space only to the start of a token or to tokens of white space, so a cut
-# between another character and white space falls between two tokens, whatever surrounds them. A special string that
-# held white space would break this; `_load` finds such vocabularies, whose texts are then encoded whole.
+# The usual byte-level pre-tokeniser gives white space only to the start of a token or to tokens of white space, so a cut
+# between another character and white space falls between two tokens, whatever surrounds them. Texts of any other kind of
+# vocabulary are encoded whole (`_cuts`).
 _SPACE = "\\t-\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 # Characters on which definitions of white space differ: a text that has one is encoded whole.
@@ -35,6 +36,16 @@ KNOWN = 400_000  # units whose lengths a worker remembers
 LONG = 64  # characters from which a unit is not remembered
 
 
+def _cuts(tokenizer) -> bool:
+    """Whether texts may be cut before white space: known only for the usual byte-level splitting, without a normaliser
+    and without special strings that hold white space or take it from their neighbours."""
+    made = json.loads(tokenizer.to_str())
+    split = made.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    special = tokenizer.get_added_tokens_decoder().values()
+    return bool(usual) and not made.get("normalizer") and not any(re.search(r"\s", x.content) or x.lstrip or x.rstrip or x.single_word for x in special)
+
+
 def _load(tokenizer: str):
     if tokenizer not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -49,8 +60,7 @@ def _load(tokenizer: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        splits = not any(re.search(r"\s", x.content) or x.lstrip or x.rstrip or x.single_word for x in t.get_added_tokens_decoder().values())
-        _loaded[tokenizer] = (t, splits)
+        _loaded[tokenizer] = (t, _cuts(t))
     return _loaded[tokenizer]
 
 
@@ -60,7 +70,7 @@ def safe_units(text: str) -> list[str]:
 
 
 def count_tokens(texts: list[str], tokenizer: str, batch_bytes: int) -> list[int]:
-    """Token counts of texts. Units not met before are encoded in batches of about batch_bytes characters."""
+    """Token counts of texts. Units not met before are encoded in batches of about batch_bytes bytes."""
     encoder, splits = _load(tokenizer)
     known = _known.setdefault(tokenizer, {})
     if len(known) > KNOWN:
@@ -86,7 +96,7 @@ def count_tokens(texts: list[str], tokenizer: str, batch_bytes: int) -> list[int
             else:
                 if unit not in owners:
                     owners[unit] = []
-                    held += len(unit)
+                    held += len(unit.encode("utf-8", "surrogatepass"))
                 owners[unit].append((i, times))
         counts[i] += total
         if held >= batch_bytes:

@@ -5,11 +5,15 @@ each bit. For a query the weighted sum of all attributes is formed by bitmap ari
 bitmaps, for many queries at once); the best rows are then taken from the most significant slice of the sum downward.
 Rows within the quantisation error of the k-th best sum are the boundary: their exact integer scores decide.
 
-Queries and rows meet in blocks: every block of queries is joined to every block of rows on a pair of block keys.
+Row blocks are dealt once to lanes of a bounded number of rows. A lane builds the slices of its blocks once and streams
+all queries past them, in blocks; only queries (a hundredth of the rows, say) are copied to lanes. What a lane keeps of a
+query is its k best, so a later block of the lane has a floor to beat.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows without
-an id; in a block shorter vectors are filled with zeros; repeated query ids are one query (the smallest vector);
-repeated rows are separate candidates; fewer than k candidates: all; empty table: empty result.
+an id, nor vectors of d components of which one exceeds the square root of 2^62 / d in size after scaling, as sums of
+their products need not fit 64 bits; in a block shorter vectors are filled with zeros; repeated query ids are one query
+(the smallest vector); repeated rows are separate candidates; fewer than k candidates: all; empty table: empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from chronolith.llm.common import map_arrow, table
 
 ROWS = 4096  # rows of a block
 QUERIES = 1024  # queries of a block
+LANE = 1 << 18  # rows of a lane
 STEP = 64  # queries whose sums are formed at once
 BITS = 6  # of a quantised attribute
 
@@ -40,7 +44,7 @@ def _matrix(ids: pa.Array, vectors: pa.Array, scale: int) -> tuple[np.ndarray, n
         if i is None or not v.is_valid or v.values is None or not len(v.values) or v.values.null_count:
             continue
         x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(x).all():
+        if np.isfinite(x).all() and np.abs(x).max() * scale <= math.sqrt((1 << 62) / len(x)):
             kept.append(i)
             rows.append(x)
     dims = max(map(len, rows), default=0)
@@ -51,11 +55,19 @@ def _matrix(ids: pa.Array, vectors: pa.Array, scale: int) -> tuple[np.ndarray, n
 
 
 def _pack(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["ids", "dims", "data"])
+    """A block in the smallest width that holds its integers."""
+    top = max(1, int(np.abs(m).max(initial=0)))
+    width = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    data = bytes([width]) + m.astype(f"<i{width}").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), pa.array([data], pa.binary())], names=["ids", "dims", "data"])
 
 
 def _unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dims)
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, f"<i{data[0]}", offset=1).reshape(-1, dims)
+
+
+def _wide(m: np.ndarray, dims: int) -> np.ndarray:
+    return m if m.shape[1] == dims else np.pad(m, ((0, 0), (0, dims - m.shape[1])))
 
 
 def pack_rows(vectors: DataFrame, scale: int, size: int = ROWS) -> DataFrame:
@@ -89,7 +101,7 @@ class BitSlicedBlock:
         top = int(max(m.max(initial=0), -(m.min(initial=0) + 1)))
         self.shift = max(0, top.bit_length() + 1 - bits)
         self.bits = max(1, top.bit_length() + 1 - self.shift)
-        u = (m >> self.shift) + (1 << (self.bits - 1))  # from 0
+        u = (m.astype(np.int64) >> self.shift) + (1 << (self.bits - 1))  # from 0
         n = len(ids)
         self.words = max(1, -(-n // 64))
         flat = np.zeros((m.shape[1], self.bits, self.words * 64), np.uint8)
@@ -184,7 +196,7 @@ class BitSlicedBlock:
             equal = np.where(one, equal & s, equal & ~s)
         found = np.unpackbits((over | equal).view(np.uint8), axis=1, bitorder="little")
         qi, ri = np.nonzero(found)
-        return qi, ri, np.einsum("ij,ij->i", q[qi], self.m[ri])
+        return qi, ri, np.einsum("ij,ij->i", q[qi], self.m[ri].astype(np.int64))
 
 
 def _best(k: int, qi: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -195,39 +207,43 @@ def _best(k: int, qi: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.nda
     return order[np.arange(len(q)) - first < k]
 
 
-def search(pairs: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Top k of each query over the row blocks that this task meets with it; one block of queries is held at a time."""
-    held, queries, best, blocks = None, None, None, {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if best is not None and len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(queries[0][best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
-
-    for batch in pairs:
+def search(blocks: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Top k of each query over the rows of each lane. Blocks come by lane: part 0 are rows, the others are queries."""
+    lane: int | None = None
+    sliced: list[BitSlicedBlock] = []
+    for batch in blocks:
         cols = batch.to_pydict()
-        for key, q_ids, q_dims, q_data, ids, dims, data in zip(*(cols[c] for c in ("qb", "q_ids", "q_dims", "q_data", "ids", "dims", "data")), strict=True):
-            if key != held:
-                yield from out()
-                held, queries = key, _unpack(q_ids, q_dims, q_data)
-                best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for own, part, ids, dims, data in zip(*(cols[c] for c in ("lane", "part", "ids", "dims", "data")), strict=True):
+            if own != lane:
+                lane, sliced = own, []
             row_ids, m = _unpack(ids, dims, data)
-            q = queries[1]
-            wide = max(m.shape[1], q.shape[1])
-            m, q = np.pad(m, ((0, 0), (0, wide - m.shape[1]))), np.pad(q, ((0, 0), (0, wide - q.shape[1])))
-            block = BitSlicedBlock(row_ids, m, bits)
-            floor = np.full(len(q), -(1 << 62), np.int64)
-            count = np.bincount(best[0], minlength=len(q))
-            low = np.full(len(q), 1 << 62, np.int64)
-            np.minimum.at(low, best[0], best[2])
-            floor[count >= k] = low[count >= k]
-            parts = [best]
-            for i in range(0, len(q), STEP):
-                qi, ri, score = block.top(queries[0][i : i + STEP], q[i : i + STEP], k, floor[i : i + STEP])
-                parts.append((qi + i, row_ids[ri], score))
-            merged = tuple(np.concatenate([p[c] for p in parts]) for c in range(3))
-            keep = _best(k, *merged)
-            best = tuple(x[keep] for x in merged)
-    yield from out()
+            if part == 0:
+                sliced.append(BitSlicedBlock(row_ids, m, bits))
+            else:
+                yield from _over(sliced, row_ids, m.astype(np.int64), k, bits)
+
+
+def _over(sliced: list[BitSlicedBlock], query_ids: np.ndarray, q: np.ndarray, k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query over all blocks."""
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for block in sliced:
+        dims = max(block.m.shape[1], q.shape[1])
+        if block.m.shape[1] < dims:
+            block = BitSlicedBlock(block.ids, _wide(block.m, dims), bits)
+        asked = _wide(q, dims)
+        floor, low = np.full(len(q), -(1 << 62), np.int64), np.full(len(q), 1 << 62, np.int64)
+        count = np.bincount(best[0], minlength=len(q))
+        np.minimum.at(low, best[0], best[2])
+        floor[count >= k] = low[count >= k]
+        parts = [best]
+        for i in range(0, len(q), STEP):
+            qi, ri, score = block.top(query_ids[i : i + STEP], asked[i : i + STEP], k, floor[i : i + STEP])
+            parts.append((qi + i, block.ids[ri], score))
+        merged = tuple(np.concatenate([p[c] for p in parts]) for c in range(3))
+        keep = _best(k, *merged)
+        best = tuple(x[keep] for x in merged)
+    if len(best[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, bits: int = BITS) -> DataFrame:
@@ -235,23 +251,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
-    grouped = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb")).agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))  # about QUERIES each
-
-    def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qb, i, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ids, m = _matrix(i.values, v.values, scale)
-                if len(ids):
-                    b = _pack(ids, m)
-                    yield pa.RecordBatch.from_arrays([pa.array([qb], pa.int32()), *b.columns], names=["qb", "q_ids", "q_dims", "q_data"])
-
-    packed = map_arrow(grouped, pack_queries, "qb int, q_ids binary, q_dims int, q_data binary")
-    lanes = 4 * spark.sparkContext.defaultParallelism  # row blocks are dealt to so many lanes, each of which gets all queries
-    left = pack_rows(rows, scale).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = left.join(right, ["lane", "qb"]).select("qb", "q_ids", "q_dims", "q_data", "ids", "dims", "data")
-    best = map_arrow(pairs, lambda batches: search(batches, k, bits), "query_id bigint, id bigint, score bigint")
+    lanes = max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / LANE))
+    dealt = pack_rows(rows, scale).select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.lit(0).alias("part"), "ids", "dims", "data")
+    packed = pack_rows(asked, scale, QUERIES).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("lane", F.lit(1).alias("part"), "ids", "dims", "data")
+    by_lane = dealt.unionByName(packed).repartition(lanes, "lane").sortWithinPartitions("lane", "part")
+    best = map_arrow(by_lane, lambda blocks: search(blocks, k, bits), "query_id bigint, id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

@@ -5,12 +5,14 @@ character n-grams of the word (with its two edges marked), longest first, and ta
 any n-gram. A text scores the mean over its words.
 
 The classifier is fitted on a bounded sample of labelled rows (about `sample_per_lang` documents a language, chosen by
-a hash of their ids) and keeps a bounded number of words and n-grams a language; both bounds are parameters. Prediction
-reads every whole text.
+a hash of their ids); the bound is a parameter, and the model keeps every word and n-gram of the sample. Prediction reads
+every whole text.
 
 Defined cases: null text or text without a letter gives `und` with score 0; a text of which nothing is known gives the
 language with the most training rows, at score 1 / number of languages; ties go to the smaller language name; repeated
-rows give one row each; no training rows: every text gives `und`; an empty table gives an empty result.
+rows give one row each; rows without an id are predicted like others and may be in the sample; no training rows: every
+text gives `und`; an empty table gives an empty result; further columns are ignored. A word of any length is one word;
+beyond LONG characters it is not remembered.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import in_fold, map_arrow, table
@@ -31,6 +33,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 EDGE = "\x01"
 PENALTY = -7.0  # of a word or n-gram that one language has and another lacks
 MEMO = 200_000  # words whose scores a task remembers
+LONG = 64  # characters of the longest of them
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,9 +67,10 @@ class LanguageModel:
             if known:
                 found = tuple([sum(x) / len(known) for x in zip(*known)])
                 break
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = found
+        if len(word) <= LONG:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -79,8 +83,7 @@ class LanguageModel:
                 for i, s in enumerate(scores):
                     totals[i] += tf * s
         if not n:
-            most = max(self.langs, key=lambda x: (self.rows[x], [-ord(c) for c in x]))
-            return most, 1 / len(self.langs)
+            return min(self.langs, key=lambda x: (-self.rows[x], x)), 1 / len(self.langs)
         best = max(range(len(totals)), key=lambda i: (totals[i], -i))
         margin = [(t - totals[best]) / n * min(n, 20) * math.log(10) for t in totals]
         return self.langs[best], 1 / sum(map(math.exp, margin))
@@ -91,15 +94,12 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_per_lang: int = 1000,
-    words_per_lang: int = 50_000,
-    grams_per_lang: int = 8_000,
-    longest: int = 6,
+    sample_per_lang: int = 400,
+    longest: int = 5,
 ) -> LanguageModel:
     """Fit on labelled rows. Rows without a text or a language are left out.
 
-    The sample has about sample_per_lang rows of each language; words_per_lang words and grams_per_lang n-grams of
-    each length stay for each language, the most frequent ones, ties to the smaller string.
+    The sample has about sample_per_lang rows of each language, which bounds the model.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -126,7 +126,7 @@ def fit(
             grams[lang, 0, word] += c
             marked = f"{EDGE}{word}{EDGE}"
             for n in range(1, longest + 1):
-                for i in range(len(marked) - n + 1):
+                for i in range(len(marked) - n + 1) if n > 1 else range(1, len(marked) - 1):  # an edge alone says nothing
                     grams[lang, n, marked[i : i + n]] += c
         items = list(grams.items())
         for i in range(0, len(items), 50_000):
@@ -137,16 +137,14 @@ def fit(
             )
 
     counts = map_arrow(sample.select("lang", "text"), count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy("lang", "n")
-    top = (
-        counts.withColumn("total", F.sum("c").over(by))
-        .withColumn("rank", F.row_number().over(by.orderBy(F.desc("c"), "gram")))
-        .where(F.col("rank") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
-    )
+    found = counts.collect()  # the words and n-grams of the sample
+    totals: Counter[tuple[str, int]] = Counter()
+    for lang, n, _, c in found:
+        totals[lang, n] += c
     words: dict[str, list[float]] = {}
     grams: dict[str, list[float]] = {}
-    for lang, n, gram, c, total in top.select("lang", "n", "gram", "c", "total").collect():  # bounded by the parameters
-        (grams if n else words).setdefault(gram, [PENALTY] * len(langs))[langs.index(lang)] = max(PENALTY, math.log10(c / total))
+    for lang, n, gram, c in found:
+        (grams if n else words).setdefault(gram, [PENALTY] * len(langs))[langs.index(lang)] = max(PENALTY, math.log10(c / totals[lang, n]))
     return LanguageModel(langs, rows, {k: tuple(v) for k, v in words.items()}, {k: tuple(v) for k, v in grams.items()}, longest)
 
 

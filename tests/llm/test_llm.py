@@ -41,6 +41,27 @@ def test_token_counts(spark):
     assert tokens.token_counts(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_token_counts_of_other_vocabularies(spark, tmp_path):
+    """Vocabularies whose splitting is not the usual one count whole texts; long texts count as the library counts them."""
+    import public_tokenizers
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+    usual = public_tokenizers.path("byte_bpe_50k.json")
+    line_ends = Tokenizer.from_file(usual)  # punctuation takes the line ends after it
+    split = pre_tokenizers.Split(Regex(r" ?[^\s\p{L}\p{N}]+[\r\n]*|\s+|[^\s\p{P}]+"), "isolated")
+    line_ends.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    none = Tokenizer.from_file(usual)
+    none.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    lower = Tokenizer.from_file(usual)
+    lower.normalizer = normalizers.Replace(Regex(r"\s+"), " ")
+    texts = ["a.\n\nb, \n c", "the end.\n\n\nA  b" * 50, "new york new york\n\n", None, "x" * 400_000, "é日 " * 100_000]
+    for k, t in enumerate((line_ends, none, lower, Tokenizer.from_file(usual))):
+        t.save(str(tmp_path / f"{k}.json"))
+        few = texts if k == 3 else texts[:4]
+        got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs(spark, few), str(tmp_path / f"{k}.json")).collect()}
+        assert got == {i: len(t.encode(x or "", add_special_tokens=False)) for i, x in enumerate(few)}
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     texts = ODD + [words(rng, rng.randrange(1, 60)) for _ in range(1500)]
@@ -111,6 +132,20 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_other_ids_and_limits(spark, tmp_path):
+    """Ids of strings, a payload limit of one's own, small files, columns named like the operator's."""
+    pages = [("b <x>\n", "u", "same text", 1), ("a:%é", None, "same text", 2), ("", "u", "tiny", 3), ("c", "u", "tiny", 4), (None, "u", "same text", 5), ("d", "u", "long " * 50_000, 6), ("d", "u", "long " * 50_000, 6)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string, first long").withColumn("digest", F.lit("x")).withColumn("record_id", F.lit(0))
+    warc.deduplicated_archive(df, str(tmp_path / "w"), min_payload=5, file_bytes=2000)
+    rows = warc.with_originals(warc.read(spark, str(tmp_path / "w"), "string"), 5).collect()
+    got = sorted(((r["record_id"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in rows), key=str)
+    assert got == sorted(
+        [("a:%é", "response", 9, None), ("b <x>\n", "revisit", 9, "a:%é"), (None, "revisit", 9, "a:%é"), ("", "response", 4, None), ("c", "response", 4, None), ("d", "response", 250_000, None), ("d", "response", 250_000, None)], key=str
+    )
+    heads = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(gzip.open(f))]
+    assert all(re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) for h in heads) and len(list((tmp_path / "w").glob("*.gz"))) > 2
+
+
 def test_main_text(spark):
     page = lambda k, extra="": (
         f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Menu</a></nav><div class='ad'>Buy {k}</div><div class='cookie-notice'>We use</div>"
@@ -344,6 +379,26 @@ def test_top_k(spark):
     assert len(few) == 2 and bitsliced.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_uneven_vectors(spark, monkeypatch):
+    """Lengths differ, large components, ties, several lanes and query blocks; what cannot be summed takes no part."""
+    monkeypatch.setattr(bitsliced, "LANE", 40)
+    monkeypatch.setattr(bitsliced, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    data = [(rng.normal(size=rng.integers(1, 9)) * 10.0 ** rng.integers(0, 6)).tolist() for _ in range(150)] + [[1.0, 0.0]] * 20 + [[1e30], [1e15, 1.0], [], [-1e300]]
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(data)] + [(None, [1.0], 1), (0, [9.0, 1.0], 1)], "vec_id long, embedding array<double>, lane int").repartition(4)
+    rows = [(k, v) for k, v in enumerate(data) if v and max(map(abs, v)) < 1e14] + [(0, [9.0, 1.0])]
+    whole = [(k, [math.floor(1024 * x) for x in v]) for k, v in rows]
+    got = {}
+    for r in bitsliced.top_k(df, df.where("vec_id % 10 = 0"), k=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for q in {k for k, _ in rows if k % 10 == 0}:
+        asked = whole[[k for k, _ in rows].index(q)][1] if q else min((v, w) for (k, v), (_, w) in zip(rows, whole) if k == 0)[1]
+        best = sorted((-sum(a * b for a, b in zip(asked, v)), k) for k, v in whole if k != q)[:7]
+        want[q] = [(r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     parts = {"xx": ["lor", "em", "ips", "um"], "yy": ["kra", "zok", "tuk", "vex"]}
@@ -372,6 +427,51 @@ def lattice_total(model, s):
     return out
 
 
+def brute_language(train, text, longest=5):
+    """Word-first backoff spelled out: language and score of a text, learnt from (lang, text) rows."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({lang for lang, _ in train})
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    seen = {lang: [Counter() for _ in range(longest + 1)] for lang in langs}
+    for lang, t in train:
+        for w in split(t):
+            seen[lang][0][w] += 1
+            for n in range(1, longest + 1):
+                marked = f"\x01{w}\x01"
+                seen[lang][n].update(g for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) != "\x01")
+    rate = lambda lang, n, g: max(-7.0, math.log10(seen[lang][n][g] / sum(seen[lang][n].values()))) if seen[lang][n][g] else -7.0
+    total, known = dict.fromkeys(langs, 0.0), 0
+    for w in split(text):
+        marked = f"\x01{w}\x01"
+        tries = [(0, [w])] + [(n, [marked[k : k + n] for k in range(len(marked) - n + 1)]) for n in range(min(longest, len(marked)), 0, -1)]
+        for n, found in tries:
+            found = [g for g in found if any(seen[lang][n][g] for lang in langs)]
+            if found:
+                known += 1
+                for lang in langs:
+                    total[lang] += sum(rate(lang, n, g) for g in found) / len(found)
+                break
+    if not known:
+        rows = Counter(lang for lang, _ in train)
+        return min(langs, key=lambda x: (-rows[x], x)), 1 / len(langs)
+    best = min(langs, key=lambda x: (-total[x], x))
+    return best, 1 / sum(10 ** ((total[x] - total[best]) / known * min(known, 20)) for x in langs)
+
+
+def test_language_id_by_brute_force(spark):
+    rng = random.Random(19)
+    parts = {"en": ["th", "e", "ing", "or"], "eng": ["th", "e", "ung", "ar"], "fr": ["é", "que", "ou"]}
+    train = [(lang, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(12))) for lang in parts for _ in range(8)]
+    texts = [*(x for x in ODD if x is None or len(x) < 5000), "zz ww", "The!Ing theor_queé", "x" * 5000 + " que", *(" ".join(rng.choice(sum(parts.values(), [])) + rng.choice("eéx") for _ in range(9)) for _ in range(25))]
+    known = spark.createDataFrame([(k, lang, t, 1) for k, (lang, t) in enumerate(train)] + [(99, "fr", None, 1), (98, None, "the", 1)], "doc_id long, lang string, text string, score int")
+    model = langid.fit(known)
+    for r in langid.identify(docs(spark, texts), model).collect():
+        lang, score = brute_language(train, texts[r["doc_id"]])
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score)), texts[r["doc_id"]]
+    assert model.predict("日本")[0] == "en"  # as many rows as eng; the smaller name
+
+
 def test_lm_scores(spark, monkeypatch):
     rng = random.Random(9)
     texts = [*(x for x in ODD if x is None or len(x) < 5000), *[words(rng, 40) for _ in range(60)], "Hello w1 éa 日x"]

@@ -37,16 +37,38 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+TOKEN = "[a-z0-9]{2,}"
+_TWO_LANES = 0x0000000100000001
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
 def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and simhash64 of every document: the signs of 64 weighted bit sums over its tokens.
+    """id and simhash64 of every row: a bit is set if more than half of the row's tokens have it in their hash.
 
-    Tokens are counted per document before the bits are summed, and bit sums are partial aggregates.
+    Nothing is shuffled. Each long sums two bits of the hashes, k and k + 32, in lanes of 32 bits.
     """
-    token = F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("([a-z0-9]{2,})"), F.lit(1)))
-    counted = docs.select(id_col, token.alias("token")).groupBy(id_col, "token").agg(F.count("token").alias("weight")).withColumn("bits", md5_64(F.col("token")))
-    sums = [F.sum(F.when(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{k}") for k in range(64)]
-    signs = counted.groupBy(id_col).agg(*sums)
-    out = F.lit(0).cast("bigint")
-    for k in range(64):
-        out = out.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
-    return signs.select(id_col, out.alias("simhash64"))
+    hashed = docs.select(id_col, F.transform(tokens(F.col(text_col)), md5_64).alias("hashes"))
+    zero, lanes, one = F.lit(0).cast("bigint"), F.lit(_TWO_LANES).cast("bigint"), F.lit(1).cast("bigint")
+
+    def two_bits(k: int) -> Column:
+        return F.aggregate("hashes", zero, lambda total, h: total + F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(f"s{k}")
+
+    sums = [two_bits(k) for k in range(32)]
+    summed = hashed.select(id_col, F.size("hashes").cast("bigint").alias("n"), *sums)
+    out = zero
+    for k in range(32):
+        low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(f"s{k}", 32)
+        for bit, count in ((k, low), (k + 32, high)):
+            out = out.bitwiseOR(F.when(2 * count > F.col("n"), F.shiftleft(one, bit)).otherwise(zero))
+    return summed.select(id_col, out.alias("simhash64"))
+
+
+def token_frequency(docs: DataFrame, text_col: str) -> DataFrame:
+    """token, n (occurrences) and docs (rows that have it). Counts are combined before the only shuffle, by token."""
+    row = F.col("tokens")
+    marks = F.concat(F.transform(row, lambda t: F.struct(t.alias("token"), F.lit(0).alias("first"))), F.transform(F.array_distinct(row), lambda t: F.struct(t.alias("token"), F.lit(1).alias("first"))))
+    seen = docs.select(tokens(F.col(text_col)).alias("tokens")).select(F.inline(marks))
+    return seen.groupBy("token").agg(F.count_if(F.col("first") == 0).alias("n"), F.count_if(F.col("first") == 1).alias("docs"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: double-encoded punctuation and what it stands for
@@ -30,16 +33,34 @@ def whole_number(col: Column) -> Column:
     return F.nullif(F.translate(col, ", ", ""), F.lit("")).try_cast("bigint")
 
 
+def stripped(col: Column) -> Column:
+    """Without blanks of any kind at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)^\s+|\s+\z", "")
+
+
+def _portable(col: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(stripped(col), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"(?U)\s+", "_")
+
+
 def file_name(col: Column, most: int = 180, default: str = "snapshot") -> Column:
-    safe = F.regexp_replace(F.regexp_replace(F.trim(col), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"\s+", "_")
-    return F.coalesce(F.nullif(F.substring(safe, 1, most), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.substring(_portable(col), 1, most), F.lit("")), F.lit(default))
 
 
 def pdf_name(col: Column, most: int = 200) -> Column:
-    safe = F.regexp_replace(F.regexp_replace(F.trim(col), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"\s+", "_")
+    safe = _portable(col)
     return F.substring(F.when(F.lower(safe).endswith(".pdf"), safe).otherwise(F.concat(safe, F.lit(".pdf"))), 1, most)
 
 
+def usable(pattern: str) -> bool:
+    """Whether Spark can run a pattern, and Python read it; configured patterns that are broken are left out."""
+    try:
+        re.compile(pattern)
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, IllegalArgumentException):
+        return False
+    return True
+
+
 def anchor_strength(evidence: Column) -> Column:
     """Two for each known phrase in the evidence, one more for its unit."""
     low = F.lower(F.coalesce(evidence, F.lit("")))
@@ -70,3 +91,12 @@ def table_text(tables: Column, most: int = 60_000) -> Column:
     row = lambda cells: F.array_join(F.filter(F.transform(cells, lambda c: F.trim(c)), lambda c: c.isNotNull()), " | ")
     one = lambda t: F.array_join(F.filter(F.transform(t, row), lambda r: F.length(F.regexp_replace(r, r"[ |]", "")) > 0), "\n")
     return F.substring(F.array_join(F.filter(F.transform(tables, one), lambda t: F.length(t) > 0), "\n\n"), 1, most)
+
+
+def posix_path(col: Column) -> Column:
+    """A path with slashes, runs of backslashes being one."""
+    return F.regexp_replace(col, r"\\+", "/")
+
+
+def windows_path(col: Column) -> Column:
+    return F.replace(col, F.lit("/"), F.lit("\\"))

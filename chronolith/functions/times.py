@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import MONTHS, month_number
 
 _NAMES = "|".join(MONTHS)
 _YEAR = r"((?:19|20)\d{2})"
+WRITTEN = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy HH:mm", "MMMM d, yyyy HH:mm", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd", "MM/dd/yyyy")
+NEAR = 80  # characters around a month in which the word 'sales' counts
+HEAD = 16_000  # characters of a release in which its period is looked for
 
 
 def parsed(col: Column) -> Column:
-    """A timestamp from the usual ISO forms and two day-first ones."""
+    """A timestamp from the usual ISO forms, and from those of WRITTEN, with or without a weekday before them."""
     c = F.nullif(F.trim(col), F.lit(""))
-    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c, F.lit("d MMMM yyyy")), F.try_to_timestamp(c, F.lit("yyyy/MM/dd")))
+    plain = F.regexp_replace(c, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
+    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(plain, F.lit(form)) for form in WRITTEN])
 
 
 def iso_utc(ts: Column) -> Column:
@@ -53,11 +57,11 @@ def date_in_url(url: Column) -> Column:
 def date_in_text(text: Column) -> Column:
     """'5 March 2024' (also 'Mar'), else YYYY-MM-DD or YYYY/MM/DD; the first match decides."""
     short = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS)
-    named = rf"(?i)\b(\d{{1,2}})\s+({short}|Sept)\s+(\d{{4}})\b"
+    named = rf"(?i)\b([0-3]?\d)\s+({short}|Sept)\s+{_YEAR}\b"
     year, month, day = F.regexp_extract(text, named, 3), month_number(F.regexp_extract(text, named, 2)), F.regexp_extract(text, named, 1)
     first = F.when(year != "", F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
-    plain = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b"
-    parts = [F.lpad(F.regexp_extract(text, plain, k), w, "0") for k, w in ((1, 4), (2, 2), (3, 2))]
+    plain = rf"\b{_YEAR}[-/](0[1-9]|1[0-2])[-/]([0-3]\d)\b"
+    parts = [F.regexp_extract(text, plain, k) for k in (1, 2, 3)]
     second = F.when(F.regexp_extract(text, plain, 1) != "", F.concat_ws("-", *parts))
     return F.try_to_date(F.coalesce(first, second), "yyyy-MM-dd")
 
@@ -79,16 +83,35 @@ def period_of_file(name: Column) -> tuple[Column, Column]:
     return F.when(named.isNull() & pre_year.isNotNull(), pre_year).otherwise(year), F.coalesce(named, pre_month)
 
 
-def period_of_text(text: Column) -> tuple[Column, Column]:
-    """Year and month that a release is about, by explicit phrases, else by a month and year near the word 'sales'."""
-    head = F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), 1, 16_000)
-    phrases = (
-        rf"(?i)(?:for|during)\s+(?:the\s+)?month\s+of\s+({_NAMES})\s+{_YEAR}",
-        rf"(?i)\b({_NAMES})\s+{_YEAR}\s+(?:new\s+vehicle\s+)?sales\b",
-        rf"(?i)\bIn\s+({_NAMES})\s+{_YEAR}\b",
-    )
-    near = rf"(?i)(.{{0,80}})\b({_NAMES})\s+{_YEAR}\b(.{{0,80}})"
-    sales = F.lower(F.concat(*[F.regexp_extract(head, near, k) for k in (1, 2, 3, 4)])).contains("sales")
-    year = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 2), F.lit("")) for p in phrases], F.when(sales, F.nullif(F.regexp_extract(head, near, 3), F.lit(""))))
-    name = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in phrases], F.when(sales, F.nullif(F.regexp_extract(head, near, 2), F.lit(""))))
-    return year.try_cast("int"), month_number(name)
+_ANY_MONTH = rf"(?i)\b({_NAMES})\s+{_YEAR}\b"
+_PHRASES = (
+    rf"(?i)(?:for|during)\s+(?:the\s+)?month\s+of\s+(?:{_NAMES})\s+{_YEAR}",
+    rf"(?i)\b(?:{_NAMES})\s+{_YEAR}\s+(?:new\s+vehicle\s+)?sales\b",
+    rf"(?i)\bIn\s+(?:{_NAMES})\s+{_YEAR}\b",
+)
+
+
+def release_head(text: Column, chars: int = HEAD) -> Column:
+    """Where a release's period is looked for."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), 1, chars)
+
+
+def period_phrase(head: Column, near: int = NEAR) -> Column:
+    """The explicit phrase that tells the period, else the first month and year if the word 'sales' is near; or null."""
+    explicit = [F.nullif(F.regexp_extract(head, p, 0), F.lit("")) for p in _PHRASES]
+    first, at = F.regexp_extract(head, _ANY_MONTH, 0), F.regexp_instr(head, F.lit(_ANY_MONTH))  # its place counts from 1
+    low = F.greatest(at - near, F.lit(1))
+    sales = F.lower(F.substring(head, low, at + F.length(first) + near - low)).contains("sales")
+    return F.coalesce(*explicit, F.when(sales, F.nullif(first, F.lit(""))))
+
+
+def with_period_of_text(df: DataFrame, text_col: str, year: str = "text_year", month: str = "text_month") -> DataFrame:
+    """df with the year and month that its releases are about. Each step is a column of its own, computed once a row."""
+    said = df.withColumn("_head", release_head(F.col(text_col))).withColumn("_said", period_phrase(F.col("_head"))).drop("_head")
+    name = month_number(F.regexp_extract("_said", _ANY_MONTH, 1))
+    return said.withColumns({year: F.nullif(F.regexp_extract("_said", _ANY_MONTH, 2), F.lit("")).try_cast("int"), month: name}).drop("_said")
+
+
+def now_iso(clock: Column | None = None) -> Column:
+    """The time of the query, or of a given clock, in UTC to the second."""
+    return iso_utc(F.current_timestamp() if clock is None else clock)

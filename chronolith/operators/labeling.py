@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.functions.text import usable
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,24 +38,37 @@ class Ontology:
         return [r.code for r in self.rules]
 
 
+_CASELESS = re.compile(r"(?:[a-z0-9 '\-\[\]().?*+|]|\\[bBdDsSwW.()?*+|\-])+")
+
+
+def _folded(col: Column) -> Column:
+    """Lower case, with the two letters that ignoring case also takes for s and i."""
+    return F.translate(F.lower(F.coalesce(col, F.lit(""))), "ſı", "si")
+
+
 def _hit(col: Column, pattern: str) -> Column:
-    return col.rlike(f"(?iu){pattern}")
+    """Whether a pattern occurs in folded text, whatever its case. Patterns without upper case need no folding again, and
+    plain words no expression."""
+    if re.fullmatch(r"[a-z0-9 ]+", pattern):
+        return col.contains(pattern)
+    return col.rlike(pattern if _CASELESS.fullmatch(pattern) and "(?" not in pattern else f"(?iu){pattern}")
 
 
 def score(rule: Rule, ontology: Ontology, title: Column, body: Column) -> Column:
-    """Each pattern adds the weight of each field it occurs in; a negative pattern in either field vetoes."""
-    title, body = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))
-    points = [_hit(t, p).cast("int") * w for p in rule.positive for t, w in ((title, ontology.title_weight), (body, ontology.body_weight))]
+    """Of folded fields: each pattern adds the weight of each field it occurs in; a negative pattern in either field vetoes. Broken
+    patterns count as absent."""
+    points = [_hit(t, p).cast("int") * w for p in filter(usable, rule.positive) for t, w in ((title, ontology.title_weight), (body, ontology.body_weight))]
     total = reduce(lambda a, b: a + b, points, F.lit(0))
-    if rule.negative:
+    if vetoes := list(filter(usable, rule.negative)):
         both = F.concat(title, F.lit("\n"), body)
-        total = F.when(reduce(lambda a, b: a | b, [_hit(both, p) for p in rule.negative]), 0).otherwise(total)
+        total = F.when(reduce(lambda a, b: a | b, [_hit(both, p) for p in vetoes]), 0).otherwise(total)
     return total
 
 
 def scored(docs: DataFrame, ontology: Ontology, title: str = "title", text: str = "text") -> DataFrame:
     """docs with an integer score column for each code."""
-    return docs.select("*", *[score(r, ontology, F.col(title), F.col(text)).alias(r.code) for r in ontology.rules])
+    rows = docs.withColumns({"_title": _folded(F.col(title)), "_body": _folded(F.col(text))})
+    return rows.select(*docs.columns, *[score(r, ontology, F.col("_title"), F.col("_body")).alias(r.code) for r in ontology.rules])
 
 
 def label_matrix(docs: DataFrame, ontology: Ontology) -> DataFrame:
@@ -77,7 +92,7 @@ def month_counts(matrix: DataFrame, codes: list[str]) -> DataFrame:
 def pattern_frequency(docs: DataFrame, ontology: Ontology, text: str = "text") -> DataFrame:
     """event_code and the number of (pattern, document) matches, case-sensitive on lower-cased text, in one pass."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    sums = docs.agg(*[F.sum(reduce(lambda a, b: a + b, [low.rlike(p).cast("bigint") for p in r.positive])).alias(r.code) for r in ontology.rules])
+    sums = docs.agg(*[F.sum(reduce(lambda a, b: a + b, [low.rlike(p).cast("bigint") for p in filter(usable, r.positive)], F.lit(0).cast("bigint"))).alias(r.code) for r in ontology.rules])
     return sums.unpivot([], ontology.codes, "event_code", "matches")
 
 
@@ -88,3 +103,9 @@ def listing_page(url: Column, title: Column, text: Column, raw: Column, publishe
     address = u.rlike(r"^https?://[^/]+/news\z") | u.rlike(r"/news/(category|latest|industry|motoring|cars|vehicle)s?\z") | u.rlike(r"/category/[^/]+\z")
     named = reduce(lambda a, b: a | b, [t.contains(w) for w in ("motoring", "latest", "category", "news")])
     return ~(some(published) | some(raw)) & (address | (named & (F.length(F.coalesce(text, F.lit(""))) > 2000)))
+
+
+def total_hits(matrix: DataFrame, codes: list[str]) -> DataFrame:
+    """One row: articles_kept and total_hits."""
+    hits = reduce(lambda a, b: a + b, [F.coalesce(F.sum(c), F.lit(0)) for c in codes], F.lit(0)).cast("bigint")
+    return matrix.agg(F.count("*").alias("articles_kept"), hits.alias("total_hits"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.text import pdf_name
+from chronolith.functions.text import pdf_name, usable
 
 
 @dataclass(frozen=True)
@@ -21,14 +20,6 @@ class SourceRule:
     discovery_only: bool = False
 
 
-def _usable(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def any_of(conditions: list[Column], none: bool) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(none)
 
@@ -37,7 +28,7 @@ def allowed(url: Column, rule: SourceRule) -> Column:
     """No deny substring (by case) and some allow pattern (any case); without allow patterns all pass, blank never."""
     u = F.coalesce(url, F.lit(""))
     denied = any_of([u.contains(d) for d in rule.deny], False)
-    fits = any_of([u.rlike(f"(?iu){p}") for p in rule.allow if _usable(p)], not rule.allow)
+    fits = any_of([u.rlike(f"(?iu){p}") for p in rule.allow if usable(p)], not rule.allow)
     return (F.trim(u) != "") & ~denied & fits
 
 
@@ -49,7 +40,7 @@ def route(urls: DataFrame, rules: list[SourceRule], url_col: str = "url") -> Dat
 
 
 def pdf_allowed(url: Column, patterns: list[str]) -> Column:
-    return any_of([F.coalesce(url, F.lit("")).rlike(f"(?iu){p}") for p in patterns], False)
+    return any_of([F.coalesce(url, F.lit("")).rlike(f"(?iu){p}") for p in patterns if usable(p)], False)
 
 
 def upload_period(url: Column) -> tuple[Column, Column]:
@@ -117,3 +108,21 @@ def next_link(links: DataFrame, page_key: str) -> DataFrame:
     """The first link of each page whose text leads on."""
     text = F.lower(F.trim("text"))
     return links.where(text.isin("next", "older", "next page") | text.contains("next")).groupBy(page_key).agg(F.min_by("url", "pos").alias("url"))
+
+
+def already_there(queue: DataFrame, files: DataFrame, folder: str, now: Column) -> DataFrame:
+    """Log rows, as of a download manifest, for links whose output file is there (files: path, bytes) and not empty."""
+    own = queue.withColumn("saved_path", F.concat(F.lit(folder.rstrip("/") + "/"), output_name(F.col("pdf_url"))))
+    found = own.join(files.where("bytes > 0").select(F.col("path").alias("saved_path"), "bytes"), "saved_path")
+    null = lambda kind: F.lit(None).cast(kind)
+    return found.select(
+        now.alias("downloaded_at_utc"), "pdf_url", "saved_path", null("string").alias("sha256"), F.col("bytes").cast("bigint").alias("bytes"), null("int").alias("http_status"), F.lit("skipped").alias("status"), F.lit("file_already_exists").alias("error")
+    )
+
+
+def capped_by_source(urls: DataFrame, caps: dict[str, int], order: list[Column]) -> DataFrame:
+    """The first URLs of each source, up to the source's own cap; sources without one keep all."""
+    most = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]) if caps else F.lit(None).cast("map<string,int>")
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
+    kept = F.col("place") <= F.coalesce(F.try_element_at(most, F.col("source_id")), F.lit(2**31 - 1))
+    return urls.withColumn("place", place).where(kept).drop("place")

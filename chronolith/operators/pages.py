@@ -1,6 +1,7 @@
 """Fields of stored HTML pages: title, author, date, main text and links; RSS and Atom items.
 
-A page is parsed once into a small tree with the standard library, in vectorised UDFs.
+A page is parsed once into a small tree with the standard library, in vectorised UDFs. Texts of elements leave out what
+scripts and styles hold, blanks become one space, and known double-encoded punctuation is repaired.
 """
 
 from __future__ import annotations
@@ -16,17 +17,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.functions.text import MOJIBAKE_NEWS
 from chronolith.functions.times import date_in_text, iso_utc, parsed
+from chronolith.operators.links import SourceRule, allowed, next_link, page_order
 from chronolith.shipping import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript"))
 # fixed values: where main text, authors and dates are looked for, in order
-MAIN = (("article", ""), ("div", "article"), ("div", "post"), ("div", "entry"), ("div", "story"), ("div", "main"), ("div", "content"), ("main", ""))
+MAIN = (("article", ""), ("div", "article"), ("div", "article-content"), ("div", "article__content"), ("div", "post-content"), ("div", "entry-content"), ("div", "content"), ("main", ""))
 AUTHOR_CLASSES = ("author", "byline", "article-author", "post-author")
 DATE_PROPERTIES = ("article:published_time", "og:published_time")
-DATE_NAMES = ("pubdate", "publishdate", "timestamp", "date", "dc.date", "article.published", "parsely-pub-date")
+DATE_NAMES = ("pubdate", "publishdate", "date", "dc.date", "dc.date.issued", "parsely-pub-date", "sailthru.date")
 MAIN_CHARS = 200
+AUTHOR_CHARS = (2, 80)
+SNIFFED = 700  # characters at the start of a text where a date is looked for first
+
+
+def tidy(text: str) -> str:
+    for wrong, right in (("\xa0", " "), *MOJIBAKE_NEWS):
+        text = text.replace(wrong, right)
+    return " ".join(text.split())
 
 
 class Node:
@@ -49,7 +60,7 @@ class Node:
                 parts.append(x)
             elif hidden or x.name not in HIDDEN or x is self:
                 todo += reversed(x.children)
-        return re.sub(r"\s+", " ", " ".join(parts).replace("\xa0", " ")).strip()
+        return tidy(" ".join(parts))
 
 
 class _Tree(HTMLParser):
@@ -81,65 +92,79 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
-def title(root: Node) -> str:
-    nodes = list(root.walk())
-    shared = next((n.attrs.get("content", "") for n in nodes if n.name == "meta" and n.attrs.get("property") == "og:title"), "")
-    own = next((n.text() for n in nodes if n.name == "title" and len(n.children) == 1), "")
-    return re.sub(r"\s+", " ", shared).strip() or own or next((n.text() for n in nodes if n.name == "h1"), "")
+class Page:
+    """A parsed page, with its elements in document order by name."""
 
+    def __init__(self, html: str | None):
+        self.root = parse(html)
+        self.nodes = list(self.root.walk())
+        self.by_name: dict[str, list[Node]] = {}
+        for n in self.nodes:
+            self.by_name.setdefault(n.name, []).append(n)
 
-def author(root: Node) -> str:
-    for n in root.walk():
-        if n.name == "meta" and n.attrs.get("name") == "author" and n.attrs.get("content", "").strip():
-            return re.sub(r"\s+", " ", n.attrs["content"]).strip()
-    for n in root.walk():
-        if any(c in AUTHOR_CLASSES for c in n.attrs.get("class", "").split()) and 2 <= len(t := n.text()) <= 80:
-            return t
-    return ""
+    def meta(self, key: str, value: str) -> str:
+        """Content of the first meta element whose attribute key has this value."""
+        return next((tidy(n.attrs.get("content", "")) for n in self.by_name.get("meta", ()) if n.attrs.get(key) == value), "")
 
+    def first(self, name: str, token: str = "") -> Node | None:
+        """The first element of this name and, if given, with this class."""
+        return next((n for n in self.by_name.get(name, ()) if not token or token in n.attrs.get("class", "").split()), None)
 
-def _published_in(data: object) -> str:
-    """datePublished of linked data: an object, a list of them, or a @graph."""
-    todo = [data]
-    while todo:
-        x = todo.pop(0)
-        if isinstance(x, list):
-            todo += x
-        elif isinstance(x, dict):
-            if isinstance(x.get("datePublished"), str):
-                return x["datePublished"]
-            todo += [x["@graph"]] if isinstance(x.get("@graph"), list) else []
+
+def title(page: Page) -> str:
+    named = page.first("title")
+    single = named.text() if named is not None and len(named.children) == 1 else ""
+    heading = page.first("h1")
+    return page.meta("property", "og:title") or single or (heading.text() if heading is not None else "")
+
+
+def author(page: Page) -> str:
+    """The named author, else the first element with a class that contains one of the words, if its text is a name's length."""
+    if named := page.meta("name", "author"):
+        return named
+    for word in AUTHOR_CLASSES:
+        n = next((n for n in page.nodes if any(word in c.lower() for c in n.attrs.get("class", "").split())), None)
+        if n is not None and AUTHOR_CHARS[0] <= len(text := n.text()) <= AUTHOR_CHARS[1]:
+            return text
     return ""
 
 
-def published(root: Node) -> str:
-    nodes = list(root.walk())
-    metas = [n for n in nodes if n.name == "meta" and n.attrs.get("content", "").strip()]
-    for key, wanted in (("property", DATE_PROPERTIES), ("name", DATE_NAMES)):
-        for name in wanted:
-            if found := next((m.attrs["content"].strip() for m in metas if m.attrs.get(key, "").lower() == name), ""):
-                return found
-    for n in nodes:
-        if n.name == "time" and (found := n.attrs.get("datetime", "").strip() or n.text()):
-            return found
-    for n in nodes:
-        if n.name == "script" and n.attrs.get("type", "").lower() == "application/ld+json":
+def _linked_dates(data: object) -> Iterator[str]:
+    """datePublished of linked data, an object or a list of them; an object's graph comes before the object."""
+    for x in data if isinstance(data, list) else [data]:
+        if isinstance(x, dict):
+            graph = x.get("@graph")
+            for part in [*(graph if isinstance(graph, list) else ()), x]:
+                if isinstance(part, dict) and part.get("datePublished"):
+                    yield str(part["datePublished"])
+
+
+def _script_dates(page: Page) -> Iterator[str]:
+    for n in page.by_name.get("script", ()):
+        if n.attrs.get("type") == "application/ld+json":
             try:
-                found = _published_in(json.loads(n.text(hidden=True)))
+                yield from _linked_dates(json.loads("".join(c for c in n.children if isinstance(c, str))))
             except ValueError:
                 continue
-            if found:
-                return found
-    return ""
 
 
-def main_text(root: Node) -> str:
-    nodes = list(root.walk())
-    for name, part in MAIN:
-        n = next((n for n in nodes if n.name == name and (not part or part in n.attrs.get("class", "").lower())), None)
-        if n is not None and len(t := n.text()) >= MAIN_CHARS:
-            return t
-    return next((n.text() for n in nodes if n.name == "body"), root.text())
+def published(page: Page) -> str:
+    """The page's own date as it stands: of its metadata, its first time element, or its linked data."""
+    for key, names in (("property", DATE_PROPERTIES), ("name", DATE_NAMES)):
+        if found := next(filter(None, (page.meta(key, name) for name in names)), ""):
+            return found
+    if (n := page.first("time")) is not None and (found := tidy(n.attrs.get("datetime", "")) or n.text()):
+        return found
+    return tidy(next(_script_dates(page), ""))
+
+
+def main_text(page: Page) -> str:
+    """Text of the first known container that has enough of it, else of the body."""
+    for name, token in MAIN:
+        n = page.first(name, token)
+        if n is not None and len(text := n.text()) >= MAIN_CHARS:
+            return text
+    return (page.first("body") or page.root).text()
 
 
 def links(root: Node, base: str) -> list[dict[str, str]]:
@@ -172,12 +197,11 @@ def page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     @F.pandas_udf("title string, author string, published_raw string, text string")
     def fields(html: pd.Series) -> pd.DataFrame:
-        roots = map(parse, html)
-        return pd.DataFrame([(title(r), author(r), published(r), main_text(r)) for r in roots], columns=["title", "author", "published_raw", "text"])
+        return pd.DataFrame([(title(p), author(p), published(p), main_text(p)) for p in map(Page, html)], columns=["title", "author", "published_raw", "text"])
 
     found = pages.withColumn("found", fields(html_col)).select("*", "found.*").drop("found")
-    sniffed = F.coalesce(date_in_text(F.substring("text", 1, 700)), date_in_text(F.col("text"))).cast("timestamp")
-    when = F.coalesce(parsed(F.col("published_raw")), F.when(F.col("published_raw") == "", sniffed))
+    sniffed = F.coalesce(date_in_text(F.substring("text", 1, SNIFFED)), date_in_text(F.col("text"))).cast("timestamp")
+    when = F.coalesce(parsed(F.col("published_raw")), sniffed)
     return found.withColumn("published_at", F.coalesce(iso_utc(when), F.lit("")))
 
 
@@ -193,14 +217,16 @@ def page_links(pages: DataFrame, html_col: str = "html", url_col: str = "url") -
     return rows.withColumn("link_url", F.col("link.url")).withColumn("link_text", F.col("link.text")).drop("link")
 
 
-def feed_items(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
+def feed_items(feeds: DataFrame, xml_col: str = "xml", rule: SourceRule | None = None) -> DataFrame:
+    """feeds with a row for each link: pos and link_url; with a rule, only those that it allows."""
     ship(feeds.sparkSession)
 
     @F.pandas_udf("array<string>")
     def found(xml: pd.Series) -> pd.Series:
         return pd.Series([feed_links(x) for x in xml])
 
-    return feeds.select("*", F.posexplode(found(xml_col)).alias("pos", "link_url"))
+    rows = feeds.select("*", F.posexplode(found(xml_col)).alias("pos", "link_url"))
+    return rows if rule is None else rows.where(allowed(F.col("link_url"), rule))
 
 
 def admissible(articles: DataFrame, least_chars: int = 800, least_year: int | None = 2019, start: str | None = None, end: str | None = None, keep_undated: bool = True) -> DataFrame:
@@ -214,3 +240,37 @@ def admissible(articles: DataFrame, least_chars: int = 800, least_year: int | No
     if end:
         fits &= day.isNull() | (day <= F.lit(end).cast("date"))
     return articles.where(fits if keep_undated else fits & day.isNotNull())
+
+
+def _links_in_order(pages: DataFrame, rule: SourceRule) -> DataFrame:
+    """link_url of the links that the rule allows, each once, by place of its first page and position there."""
+    found = page_links(pages).where(allowed(F.col("link_url"), rule))
+    first = found.groupBy("link_url").agg(F.min(F.struct("place", "pos")).alias("at"))
+    return first.select("link_url", "at.place", "at.pos").orderBy("place", "pos")
+
+
+def section_links(stored: DataFrame, rule: SourceRule, page_pattern: str, start: int = 1, most: int = 40) -> DataFrame:
+    """Links of a section's numbered pages among stored ones (url, status, html).
+
+    Pages run from `start` to the highest of `most` that is stored with status 200 and a body; they are read from both
+    ends in turn, so that a cap on links favours neither.
+    """
+    numbers = stored.sparkSession.range(start, start + most).select(F.col("id").cast("int").alias("page"))
+    before, _, after = page_pattern.partition("{page}")
+    named = numbers.withColumn("url", F.concat(F.lit(before), F.col("page").cast("string"), F.lit(after)))
+    there = stored.where("status = 200 and length(html) > 0").dropDuplicates(["url"]).join(F.broadcast(named), "url")  # at most `most` rows
+    bounds = there.agg(F.max("page").alias("hi")).where("hi is not null")
+    window = numbers.join(F.broadcast(bounds), F.col("page") <= F.col("hi")).drop("hi")  # one row of bounds
+    return _links_in_order(there.join(page_order(window), "page"), rule)
+
+
+def chain_links(stored: DataFrame, rule: SourceRule, entry: str, most: int = 40) -> DataFrame:
+    """Links of the pages that a reader meets from an entry page on by links that say 'next', at most `most` pages."""
+    there = stored.where("status not in (404, 410) and length(html) > 0").dropDuplicates(["url"])
+    onward = next_link(page_links(there).select(F.col("url").alias("page_url"), "pos", F.col("link_url").alias("url"), F.col("link_text").alias("text")), "page_url")
+    following = {r["page_url"]: r["url"] for r in onward.where(F.col("url") != F.col("page_url")).collect()}  # one row a page of this section
+    chain = [entry]
+    while len(chain) < most and (url := following.get(chain[-1])) is not None:
+        chain.append(url)
+    places = stored.sparkSession.createDataFrame([(u, k) for k, u in enumerate(chain)], "url string, place int").groupBy("url").agg(F.min("place").alias("place"))
+    return _links_in_order(there.join(F.broadcast(places), "url"), rule)

@@ -44,12 +44,12 @@ def event_months(counts: DataFrame) -> DataFrame:
 
 
 def sales_months(sales: DataFrame, total: str | None = "total_sales_units") -> DataFrame:
-    return sales.where("month_id is not null").groupBy("month_id").agg(F.max(missing(total)).alias("naamsa_total_missing")).withColumn("naamsa_available", F.lit(1))
+    return sales.where("month_id is not null").groupBy("month_id").agg(F.count("*").cast("int").alias("naamsa_rows"), F.max(missing(total)).alias("naamsa_total_missing")).withColumn("naamsa_available", F.lit(1))
 
 
 def panel_months(panel: DataFrame, total: str | None = "total_sales_units") -> DataFrame:
     rows = panel.where("month_id is not null").withColumn("sum", intensity(numeric_columns(panel)))
-    return rows.groupBy("month_id").agg(F.max(missing(total)).alias("panel_sales_missing"), F.sum("sum").alias("panel_event_intensity_total")).withColumn("panel_available", F.lit(1))
+    return rows.groupBy("month_id").agg(F.count("*").cast("int").alias("panel_rows"), F.max(missing(total)).alias("panel_sales_missing"), F.sum("sum").alias("panel_event_intensity_total")).withColumn("panel_available", F.lit(1))
 
 
 def coverage(news: DataFrame, events: DataFrame, sales: DataFrame, panel: DataFrame) -> DataFrame:

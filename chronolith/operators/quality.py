@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.times import month_id, month_of, parsed
@@ -68,8 +69,7 @@ def count_checks(counts: DataFrame, codes: list[str], least_months: int = 12) ->
     require_columns(counts, ["period_year", "period_month"])
     if not codes:
         raise GateError("no event columns")
-    any_of = lambda f: reduce(lambda a, b: a | b, [f(F.col(c).try_cast("double")) for c in codes])
-    sums = {"unique_period": unique(["period_year", "period_month"]), "months": F.count("*"), "numeric": F.count_if(any_of(lambda c: c.isNull())), "not_negative": F.count_if(any_of(lambda c: c < 0))}
+    sums = {"unique_period": unique(["period_year", "period_month"]), "months": F.count("*"), **_event_sums(codes)}
     return _checks(counts, "monthly_event_counts", sums, {"unique_period": F.col("unique_period") == 0, "months": F.col("months") >= least_months, "numeric": F.col("numeric") == 0, "not_negative": F.col("not_negative") == 0})
 
 
@@ -81,25 +81,70 @@ def sales_checks(sales: DataFrame, low: int = 10_000, high: int = 200_000) -> Da
     return _checks(sales, "sales_headlines", sums, {"unique_period": F.col("unique_period") == 0, "missing_totals": F.lit(True), "positive": F.col("positive") == 0, "in_range": F.lit(True)})
 
 
+_PANEL_KEYS = ("month_id", "total_sales_units", "period_year", "period_month")
+
+
+def _event_sums(codes: list[str]) -> dict[str, Column]:
+    """How many rows have an event count that is no number, or a negative one."""
+    any_of = lambda f: reduce(lambda a, b: a | b, [f(F.col(c).try_cast("double")) for c in codes], F.lit(False))
+    return {"numeric": F.count_if(any_of(lambda c: c.isNull())), "not_negative": F.count_if(any_of(lambda c: c < 0))}
+
+
 def panel_checks(panel: DataFrame) -> DataFrame:
-    require_columns(panel, ["period_year", "period_month", "month_id", "total_sales_units"])
-    differs = F.substring("month_id", 1, 7) != month_id(F.col("period_year"), F.col("period_month"))
-    sums = {"unique_month": unique(["month_id"]), "month_agrees": F.count_if(differs), "missing_sales": F.count_if(F.col("total_sales_units").isNull())}
-    return _checks(panel, "panel", sums, {"unique_month": F.col("unique_month") == 0, "month_agrees": F.col("month_agrees") == 0, "missing_sales": F.lit(True)})
+    """All columns beside the keys are event counts. Without year and month columns nothing has to agree with them."""
+    require_columns(panel, ["month_id", "total_sales_units"])
+    sums = {"unique_month": unique(["month_id"]), **_event_sums([c for c in panel.columns if c not in _PANEL_KEYS])}
+    if {"period_year", "period_month"} <= set(panel.columns):
+        sums["month_agrees"] = F.count_if(~F.substring("month_id", 1, 7).eqNullSafe(month_id(F.col("period_year"), F.col("period_month"))))
+    passed = {k: F.col(k) == 0 for k in sums}
+    sums["missing_sales"] = F.count_if(F.col("total_sales_units").try_cast("double").isNull())
+    return _checks(panel, "panel", sums, passed | {"missing_sales": F.lit(True)})
+
+
+def documented_months(text: str) -> list[str]:
+    """Months that a document lists as missing, in lines '- YYYY-MM'. A document without any is an error."""
+    if not (found := re.findall(r"(?m)^- (\d{4}-\d{2})\s*$", text)):
+        raise GateError("the document lists no missing months")
+    return sorted(set(found))
+
+
+def documented_checks(panel: DataFrame, months: DataFrame) -> DataFrame:
+    """Months without sales against the documented ones (column month_id): each month that only one side has fails."""
+    computed = panel.where(F.col("total_sales_units").try_cast("double").isNull()).select(F.substring("month_id", 1, 7).alias("month_id"))
+    sides = same_set(computed, months.select(F.col("month_id").cast("string")))
+    parts = [F.struct(F.lit("panel").alias("table"), F.lit(name).alias("check"), (F.col(side) == 0).alias("passed"), F.col(side).alias("detail")) for name, side in (("undocumented", "only_left"), ("not_missing", "only_right"))]
+    return sides.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
 def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
-    """only_left and only_right: how many distinct rows one side lacks."""
-    left, right = a.exceptAll(b).agg(F.count("*").alias("only_left")), b.exceptAll(a).agg(F.count("*").alias("only_right"))
+    """only_left and only_right: how many distinct rows one side lacks; repeats do not count."""
+    left, right = a.subtract(b).agg(F.count("*").alias("only_left")), b.subtract(a).agg(F.count("*").alias("only_right"))
     return left.crossJoin(right)  # one row each
 
 
-def snapshot_mismatches(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows whose recorded digest differs from that of the stored bytes (files: path, content)."""
-    found = rows.join(files.select(F.col("path").alias("snapshot_path"), F.sha2("content", 256).alias("found_sha256")), "snapshot_path", "left")
-    return found.where(~F.col("snapshot_sha256").eqNullSafe(F.col("found_sha256")))
+def snapshot_mismatches(rows: DataFrame, files: DataFrame, sample: int | None = None, key: str = "article_id") -> DataFrame:
+    """Rows whose recorded digest differs from that of the stored bytes (files: path, content), with fault: 'missing' or
+    'differs'. sample: only so many rows, the first by key."""
+    asked = rows if sample is None else rows.orderBy(key).limit(sample)
+    found = asked.join(files.select(F.col("path").alias("snapshot_path"), F.sha2("content", 256).alias("found_sha256")), "snapshot_path", "left")
+    fault = F.when(F.col("found_sha256").isNull(), "missing").when(~F.col("snapshot_sha256").eqNullSafe(F.col("found_sha256")), "differs")
+    return found.withColumn("fault", fault).where("fault is not null")
+
+
+def require_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Fail unless a file or folder stands at each path."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            raise GateError(f"missing {path}")
 
 
 def enforce(checks: DataFrame) -> None:
     if failed := checks.where("not passed").select("table", "check", "detail").collect():  # one row a check
         raise GateError("; ".join(f"{r['table']}.{r['check']}: {r['detail']}" for r in failed))
+
+
+def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df, and what is known of it once an action has read it all: rows and further aggregates, without another pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]), seen

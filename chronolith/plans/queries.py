@@ -152,9 +152,7 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_frequency", "SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token FROM documents) GROUP BY 1")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), F.lit(1))).alias("token")
-    by_doc = parquet(spark, sf_dir, "documents").select("doc_id", token).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return hashing.token_frequency(parquet(spark, sf_dir, "documents"), "text")
 
 
 COVERAGE = f"""WITH {ARTICLES}, {COUNTS},
@@ -211,28 +209,34 @@ def lag_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.lag_model(month_panel(spark, sf_dir))
 
 
-_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+_PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 @query(
     "column_profile",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) AS missing_count, round(100.0 * (count(*) - count({c})) / greatest(count(*), 1), 2)::DOUBLE AS missing_pct FROM orders"
-        for c, t in zip(_PROFILED, ("bigint", "bigint", "string", "double", "string"), strict=True)
+        f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) AS missing_count, round(100.0 * (count(*) - count({c})) / greatest(count(*), 1), 2)::DOUBLE AS missing_pct, arg_min({c}, o_orderkey)::VARCHAR AS example_value FROM orders"
+        for c, t in _PROFILED.items()
     ),
 )
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.profile(parquet(spark, sf_dir, "orders").select(*_PROFILED), "o_orderkey").select("column", "dtype", "missing_count", F.col("missing_pct").cast("double").alias("missing_pct"))
+    rows = parquet(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    return quality.profile(rows.select(*_PROFILED), "o_orderkey").select("column", "dtype", "missing_count", F.col("missing_pct").cast("double").alias("missing_pct"), "example_value")
 
 
 @query(
     "quality_gate",
     f"""WITH {COUNTS}, k AS (SELECT month_id, month_id[:4]::INTEGER AS y, month_id[6:7]::INTEGER AS m, * EXCLUDE (month_id) FROM p)
 SELECT 'monthly_event_counts' AS "table", 'unique_period' AS "check", count(*) = count(DISTINCT (y, m)) AS passed, count(*) - count(DISTINCT (y, m)) AS detail FROM k
-UNION ALL SELECT 'monthly_event_counts', 'months', count(*) >= 12, count(*) FROM k UNION ALL SELECT 'monthly_event_counts', 'numeric', true, 0 UNION ALL SELECT 'monthly_event_counts', 'not_negative', count(*) FILTER (flag_a < 0) = 0, count(*) FILTER (flag_a < 0) FROM k
-UNION ALL SELECT 'sales_headlines', 'unique_period', true, count(*) - count(DISTINCT (y, m)) FROM k UNION ALL SELECT 'sales_headlines', 'missing_totals', true, count(*) FILTER (total_sales_units IS NULL) FROM k
+UNION ALL SELECT 'monthly_event_counts', 'months', count(*) >= 12, count(*) FROM k
+UNION ALL SELECT 'monthly_event_counts', 'numeric', count(*) FILTER (flag_a IS NULL OR flag_n IS NULL OR flag_r IS NULL) = 0, count(*) FILTER (flag_a IS NULL OR flag_n IS NULL OR flag_r IS NULL) FROM k
+UNION ALL SELECT 'monthly_event_counts', 'not_negative', count(*) FILTER (least(flag_a, flag_n, flag_r) < 0) = 0, count(*) FILTER (least(flag_a, flag_n, flag_r) < 0) FROM k
+UNION ALL SELECT 'panel', 'numeric', count(*) FILTER (flag_a IS NULL OR flag_n IS NULL OR flag_r IS NULL) = 0, count(*) FILTER (flag_a IS NULL OR flag_n IS NULL OR flag_r IS NULL) FROM k
+UNION ALL SELECT 'panel', 'not_negative', count(*) FILTER (least(flag_a, flag_n, flag_r) < 0) = 0, count(*) FILTER (least(flag_a, flag_n, flag_r) < 0) FROM k
+UNION ALL SELECT 'sales_headlines', 'unique_period', count(*) = count(DISTINCT (y, m)), count(*) - count(DISTINCT (y, m)) FROM k UNION ALL SELECT 'sales_headlines', 'missing_totals', true, count(*) FILTER (total_sales_units IS NULL) FROM k
 UNION ALL SELECT 'sales_headlines', 'positive', count(*) FILTER (total_sales_units <= 0) = 0, count(*) FILTER (total_sales_units <= 0) FROM k UNION ALL SELECT 'sales_headlines', 'in_range', true, count(*) FILTER (total_sales_units NOT BETWEEN 10000 AND 200000) FROM k
-UNION ALL SELECT 'panel', 'unique_month', true, count(*) - count(DISTINCT month_id) FROM k UNION ALL SELECT 'panel', 'month_agrees', true, 0 UNION ALL SELECT 'panel', 'missing_sales', true, count(*) FILTER (total_sales_units IS NULL) FROM k""",
+UNION ALL SELECT 'panel', 'unique_month', count(*) = count(DISTINCT month_id), count(*) - count(DISTINCT month_id) FROM k
+UNION ALL SELECT 'panel', 'month_agrees', count(*) FILTER (month_id[:7] <> y || '-' || lpad(m::VARCHAR, 2, '0')) = 0, count(*) FILTER (month_id[:7] <> y || '-' || lpad(m::VARCHAR, 2, '0')) FROM k UNION ALL SELECT 'panel', 'missing_sales', true, count(*) FILTER (total_sales_units IS NULL) FROM k""",
 )
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = month_panel(spark, sf_dir).withColumn("period_year", times.year_of_month(F.col("month_id"))).withColumn("period_month", times.number_of_month(F.col("month_id")))
@@ -240,6 +244,18 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (quality.count_checks(keyed, flags), quality.sales_checks(keyed), quality.panel_checks(keyed)))
 
 
+@query("documented_months", f"""WITH {COUNTS}, k AS (SELECT DISTINCT month_id FROM p WHERE total_sales_units IS NULL), d AS (SELECT DISTINCT month_id FROM p WHERE month_id LIKE '%-07')
+SELECT 'panel' AS "table", 'undocumented' AS "check", count(*) = 0 AS passed, count(*) AS detail FROM k ANTI JOIN d USING (month_id) UNION ALL SELECT 'panel', 'not_missing', count(*) = 0, count(*) FROM d ANTI JOIN k USING (month_id)""")
+def documented_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = month_panel(spark, sf_dir)
+    return quality.documented_checks(rows, rows.where("month_id like '%-07'").select("month_id"))
+
+
+@query("total_hits", f"WITH {SCORES} SELECT count(*) AS articles_kept, ({' + '.join(f'count(*) FILTER ({r.code} >= {r.min_score})' for r in ONTOLOGY.rules)})::BIGINT AS total_hits FROM sc")
+def total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeling.total_hits(labeling.label_matrix(articles(spark, sf_dir), ONTOLOGY), ONTOLOGY.codes)
+
+
 @query("duplicate_texts", "SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicates(parquet(spark, sf_dir, "documents"), ["text"])
@@ -285,11 +301,14 @@ def download_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.download_queue(uploads(spark, sf_dir), 40).select("page_id", "pdf_url")
 
 
-@query("pending_downloads", f"WITH {UPLOADS} SELECT page_id, pdf_url FROM u WHERE page_id % 4 <> 1")
+MANIFEST = "m AS (SELECT pdf_url, CASE page_id % 4 WHEN 1 THEN 'success' WHEN 2 THEN 'failed' ELSE 'skipped' END AS status FROM u WHERE page_id % 4 <> 0)"
+
+
+@query("pending_downloads", f"WITH {UPLOADS}, {MANIFEST} SELECT page_id, pdf_url FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.pdf_url = u.pdf_url AND m.status = 'success')")
 def pending_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = uploads(spark, sf_dir)
     state = F.when(F.col("page_id") % 4 == 1, "success").when(F.col("page_id") % 4 == 2, "failed").otherwise("skipped")
-    return links.pending(rows, rows.withColumn("status", state)).select("page_id", "pdf_url")
+    return links.pending(rows, rows.where("page_id % 4 <> 0").withColumn("status", state)).select("page_id", "pdf_url")
 
 
 @query("source_cap", f"WITH {ARTICLES} SELECT doc_id, source_id FROM art QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY day DESC, doc_id) <= 15")
@@ -310,6 +329,28 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.ordered_union([rows.where(click), rows.where(~click)], "user_id", "event_id").select("user_id", "event_id", "part")
 
 
+@query(
+    "source_own_caps",
+    f"WITH {ARTICLES} SELECT doc_id, source_id FROM art QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY day DESC, doc_id) <= CASE WHEN source_id LIKE '%1' THEN 7 WHEN source_id LIKE '%2' THEN 11 ELSE 1000000000 END",
+)
+def source_own_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = articles(spark, sf_dir)
+    names = [r[0] for r in rows.select("source_id").distinct().collect()]  # sources are few
+    caps = {s: 7 if s.endswith("1") else 11 for s in names if s and s[-1] in "12"}
+    return links.capped_by_source(rows, caps, [F.desc("day"), F.col("doc_id")]).select("doc_id", "source_id")
+
+
+@query(
+    "files_already_there",
+    rf"""WITH {UPLOADS}, r AS (SELECT pdf_url, coalesce(regexp_extract(pdf_url, '/uploads/(\d{{4}})/(\d{{2}})/', 1) || '_' || nullif(regexp_extract(pdf_url, '/uploads/(\d{{4}})/(\d{{2}})/', 2), '') || '_', '') || replace(split_part(split_part(pdf_url, '/', -1), '?', 1), ' ', '_') || CASE WHEN split_part(split_part(pdf_url, '/', -1), '?', 1) LIKE '%.pdf' THEN '' ELSE '.pdf' END AS name FROM u),
+f AS (SELECT 'raw/sales_report_' || page_id || '.pdf' AS path, length(html) % 5 AS bytes FROM pages)
+SELECT '2024-01-02T03:04:05Z' AS downloaded_at_utc, pdf_url, path AS saved_path, NULL::VARCHAR AS sha256, bytes::BIGINT AS bytes, NULL::INTEGER AS http_status, 'skipped' AS status, 'file_already_exists' AS error FROM r JOIN f ON f.path = 'raw/' || r.name WHERE bytes > 0""",
+)
+def files_already_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = parquet(spark, sf_dir, "pages").select(F.concat(F.lit("raw/sales_report_"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("path"), (F.length("html") % 5).alias("bytes"))
+    return links.already_there(uploads(spark, sf_dir), files, "raw", F.lit("2024-01-02T03:04:05Z"))
+
+
 @query("page_order", "WITH p AS (SELECT page_id AS page, min(page_id) OVER () AS lo, max(page_id) OVER () AS hi FROM pages) SELECT page, row_number() OVER (ORDER BY least(page - lo, hi - page), page) - 1 AS place FROM p")
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.page_order(parquet(spark, sf_dir, "pages").select(F.col("page_id").alias("page"))).select("page", F.col("place").cast("bigint").alias("place"))
@@ -320,40 +361,66 @@ def admissible_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.admissible(articles(spark, sf_dir).withColumn("published_ts", F.col("day").cast("timestamp")), 800, 2020, "2020-02-01", "2024-06-30").select("doc_id")
 
 
+DATED = f"""{ARTICLES}, x AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'https://x/2024/02/31/a' WHEN doc_id % 7 < 4 THEN 'https://x/' || strftime(day, '%Y/%m/%d') || '/a' ELSE 'https://x/a-' || strftime(day, '%Y_%m-%d') END AS url,
+coalesce(text, '') || CASE WHEN doc_id % 7 = 1 THEN ' on 31 Feb 2024' WHEN doc_id % 7 < 4 THEN ' posted ' || strftime(day, '%-d %B %Y') || ' by' ELSE ' at ' || strftime(day, '%Y/%m/%d') END AS said FROM art)"""
+_NAMED, _PLAIN = r"(?i)\b([0-3]?\d)\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+((?:19|20)\d{2})\b", r"\b((?:19|20)\d{2})[-/](0[1-9]|1[0-2])[-/]([0-3]\d)\b"
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with an address (url) and their whole text with a date behind it (said)."""
+    k = F.col("doc_id") % 7
+    url = F.when(k == 0, "https://x/2024/02/31/a").when(k < 4, F.concat(F.lit("https://x/"), F.date_format("day", "yyyy/MM/dd"), F.lit("/a"))).otherwise(F.concat(F.lit("https://x/a-"), F.date_format("day", "yyyy_MM-dd")))
+    tail = F.when(k == 1, " on 31 Feb 2024").when(k < 4, F.concat(F.lit(" posted "), F.date_format("day", "d MMMM yyyy"), F.lit(" by"))).otherwise(F.concat(F.lit(" at "), F.date_format("day", "yyyy/MM/dd")))
+    return articles(spark, sf_dir).select("doc_id", "day", url.alias("url"), F.concat(F.coalesce("text", F.lit("")), tail).alias("said"))
+
+
 @query(
     "dates_found",
-    """WITH d AS (SELECT doc_id, DATE '2019-01-01' + (doc_id % 2500)::INTEGER AS day FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN day END AS url_date, CASE WHEN doc_id % 7 <> 1 THEN day END AS text_date, strftime(day, '%Y-%m-%dT00:00:00Z') AS iso FROM d""",
+    rf"""WITH {DATED}, f AS (SELECT doc_id, day, CASE WHEN regexp_matches(url, '/20\d{{2}}/\d{{2}}/\d{{2}}/') THEN regexp_extract(url, '/(20\d{{2}}/\d{{2}}/\d{{2}})/', 1) ELSE replace(regexp_extract(url, '20\d{{2}}[-_]\d{{2}}[-_]\d{{2}}'), '_', '-') END AS u,
+CASE WHEN regexp_matches(said, '{_NAMED}') THEN regexp_extract(said, '{_NAMED}', 3) || '-' || upper(regexp_extract(said, '{_NAMED}', 2)) || '-' || regexp_extract(said, '{_NAMED}', 1) ELSE regexp_extract(said, '{_PLAIN}', 1) || '-' || regexp_extract(said, '{_PLAIN}', 2) || '-' || regexp_extract(said, '{_PLAIN}', 3) END AS t FROM x)
+SELECT doc_id, try_cast(replace(u, '/', '-') AS DATE) AS url_date, coalesce(try_strptime(t, '%Y-%b-%d'), try_strptime(t, '%Y-%m-%d'))::DATE AS text_date, strftime(day, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM f""",
 )
 def dates_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir)
-    k = F.col("doc_id") % 7
-    url = F.when(k == 0, "https://x/2024/02/31/a").when(k < 4, F.concat(F.lit("https://x/"), F.date_format("day", "yyyy/MM/dd"), F.lit("/a"))).otherwise(F.concat(F.lit("https://x/a-"), F.date_format("day", "yyyy_MM-dd")))
-    said = F.when(k == 1, "on 31 Feb 2024").when(k < 4, F.concat(F.lit("posted "), F.date_format("day", "d MMMM yyyy"), F.lit(" by"))).otherwise(F.concat(F.lit("at "), F.date_format("day", "yyyy/M/d")))
-    return rows.select("doc_id", times.date_in_url(url).alias("url_date"), times.date_in_text(said).alias("text_date"), times.iso_utc(F.col("day").cast("timestamp")).alias("iso"))
+    return dated(spark, sf_dir).select("doc_id", times.date_in_url(F.col("url")).alias("url_date"), times.date_in_text(F.col("said")).alias("text_date"), times.iso_utc(F.col("day").cast("timestamp")).alias("iso"))
 
 
-@query("event_times", f"WITH {ARTICLES} SELECT doc_id, (CASE WHEN doc_id % 3 = 2 THEN DATE '2020-05-06' ELSE day END)::TIMESTAMP AS event_time FROM art")
+@query(
+    "event_times",
+    rf"""WITH {DATED}, f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN strftime(day, '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS published, CASE WHEN doc_id % 3 = 1 THEN strftime(day, '%B %-d, %Y') ELSE 'soon' END AS raw, url, strftime(day + 3, '%Y-%m-%dT%H:%M:%SZ') AS fetched FROM x)
+SELECT doc_id, coalesce(try_strptime(published, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(raw, '%B %-d, %Y'), try_strptime(regexp_extract(url, '/(20\d{{2}}/\d{{2}}/\d{{2}})/', 1), '%Y/%m/%d'),
+CASE WHEN NOT regexp_matches(url, '/20\d{{2}}/\d{{2}}/\d{{2}}/') THEN try_strptime(replace(regexp_extract(url, '20\d{{2}}[-_]\d{{2}}[-_]\d{{2}}'), '_', '-'), '%Y-%m-%d') END, strptime(fetched, '%Y-%m-%dT%H:%M:%SZ')) AS event_time FROM f""",
+)
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir)
-    k, iso = F.col("doc_id") % 3, times.iso_utc(F.col("day").cast("timestamp"))
-    when = times.event_time(F.when(k == 0, iso).otherwise(""), F.when(k == 1, F.date_format("day", "yyyy-MM-dd")), F.lit("https://x/2020/05/06/a"), iso)
-    return rows.select("doc_id", when.cast("timestamp_ntz").alias("event_time"))
+    k, iso = F.col("doc_id") % 3, lambda day: times.iso_utc(day.cast("timestamp"))
+    published, raw = F.when(k == 0, iso(F.col("day"))).otherwise(""), F.when(k == 1, F.date_format("day", "MMMM d, yyyy")).otherwise("soon")
+    when = times.event_time(published, raw, F.col("url"), iso(F.date_add("day", 3)))
+    return dated(spark, sf_dir).select("doc_id", when.cast("timestamp_ntz").alias("event_time"))
+
+
+PERIODS = f"""{ARTICLES}, x AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Report-' || strftime(day, '%B-%Y') ELSE strftime(day, '%Y_04_x') END || '.pdf' AS name,
+CASE doc_id % 4 WHEN 0 THEN 'for the  month of ' || strftime(day, '%B %Y') WHEN 1 THEN 'strong sales seen in all of ' || strftime(day, '%B %Y') WHEN 2 THEN 'rain of ' || strftime(day, '%B %Y') ELSE 'wet ' || strftime(day, '%B %Y') || ' and then dry March 2031 with sales' END || ' ' || coalesce(text, '') AS said FROM art)"""
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_ANY_MONTH = rf"(?i)\b({_MONTHS})\s+((?:19|20)\d{{2}})\b"
 
 
 @query(
     "periods_found",
-    """WITH d AS (SELECT doc_id, DATE '2019-01-01' + (doc_id % 2500)::INTEGER AS day FROM documents)
-SELECT doc_id, year(day)::INTEGER AS file_year, CASE WHEN doc_id % 2 = 0 THEN month(day) ELSE 4 END::INTEGER AS file_month, CASE WHEN doc_id % 3 < 2 THEN year(day) END::INTEGER AS text_year, CASE WHEN doc_id % 3 < 2 THEN month(day) END::INTEGER AS text_month FROM d""",
+    rf"""WITH {PERIODS}, h AS (SELECT doc_id, name, trim(regexp_replace(said, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))[:16000] AS head FROM x),
+f AS (SELECT *, CASE WHEN regexp_matches(head, '(?i)month of ({_MONTHS}) ((?:19|20)\d{{2}})') THEN regexp_extract(head, '(?i)month of ((?:{_MONTHS}) (?:19|20)\d{{2}})', 1)
+WHEN regexp_matches(head, '(?i)\b({_MONTHS}) ((?:19|20)\d{{2}}) (?:new vehicle )?sales\b') THEN regexp_extract(head, '(?i)\b((?:{_MONTHS}) (?:19|20)\d{{2}}) (?:new vehicle )?sales\b', 1)
+WHEN regexp_matches(head, '(?i)\bIn ({_MONTHS}) ((?:19|20)\d{{2}})\b') THEN regexp_extract(head, '(?i)\bIn ((?:{_MONTHS}) (?:19|20)\d{{2}})\b', 1)
+WHEN contains(lower(head[greatest(strpos(head, regexp_extract(head, '{_ANY_MONTH}')) - 80, 1):strpos(head, regexp_extract(head, '{_ANY_MONTH}')) + length(regexp_extract(head, '{_ANY_MONTH}')) + 79]), 'sales') THEN regexp_extract(head, '{_ANY_MONTH}') END AS said FROM h)
+SELECT doc_id, regexp_extract(name, '(?:19|20)\d{{2}}')::INTEGER AS file_year, CASE WHEN regexp_matches(name, '{_MONTHS}') THEN month(strptime(regexp_extract(name, '{_MONTHS}'), '%B')) ELSE regexp_extract(name, '^\d{{4}}_(\d\d)_', 1)::INTEGER END::INTEGER AS file_month,
+year(try_strptime(said, '%B %Y'))::INTEGER AS text_year, month(try_strptime(said, '%B %Y'))::INTEGER AS text_month FROM f""",
 )
 def periods_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = articles(spark, sf_dir)
-    k = F.col("doc_id")
-    name = F.when(k % 2 == 0, F.concat(F.lit("Report-"), F.date_format("day", "MMMM-yyyy"))).otherwise(F.concat(F.date_format("day", "yyyy"), F.lit("_04_x"))) 
-    name = F.concat(name, F.lit(".pdf"))
-    said = F.when(k % 3 == 0, F.concat(F.lit("for the  month of "), F.date_format("day", "MMMM yyyy"))).when(k % 3 == 1, F.concat(F.lit("strong sales seen in all of "), F.date_format("day", "MMMM yyyy"))).otherwise(F.concat(F.lit("rain of "), F.date_format("day", "MMMM yyyy")))
-    (file_year, file_month), (text_year, text_month) = times.period_of_file(name), times.period_of_text(said)
-    return rows.select("doc_id", file_year.alias("file_year"), file_month.alias("file_month"), text_year.alias("text_year"), text_month.alias("text_month"))
+    k, month = F.col("doc_id"), F.date_format("day", "MMMM yyyy")
+    name = F.concat(F.when(k % 2 == 0, F.concat(F.lit("Report-"), F.date_format("day", "MMMM-yyyy"))).otherwise(F.concat(F.date_format("day", "yyyy"), F.lit("_04_x"))), F.lit(".pdf"))
+    said = F.when(k % 4 == 0, F.concat(F.lit("for the  month of "), month)).when(k % 4 == 1, F.concat(F.lit("strong sales seen in all of "), month)).when(k % 4 == 2, F.concat(F.lit("rain of "), month))
+    said = F.concat_ws(" ", said.otherwise(F.concat(F.lit("wet "), month, F.lit(" and then dry March 2031 with sales"))), F.coalesce("text", F.lit("")))
+    file_year, file_month = times.period_of_file(name)
+    rows = times.with_period_of_text(articles(spark, sf_dir).withColumns({"name": name, "said": said}), "said")
+    return rows.select("doc_id", file_year.alias("file_year"), file_month.alias("file_month"), "text_year", "text_month")
 
 
 @query("link_harvest", """SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
@@ -361,60 +428,106 @@ def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.harvested(parquet(spark, sf_dir, "pages")).select("page_id", "pos", "href")
 
 
-@query("page_fields", f"SELECT page_id, replace(trim(regexp_replace({PAGE_TITLE}, '\\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages")
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages with an author and a date in one of several places, or in none."""
+    k = F.col("page_id")
+    head = F.when(k % 4 == 0, F.concat(F.lit('<meta name="author" content=" Ann  Lee '), k.cast("string"), F.lit('"><meta name="date" content="2021-03-04">'))).when(k % 4 == 1, '<meta property="article:published_time" content="2020-02-30"><meta name="dc.date.issued" content="2020-05-06T07:08:09+02:00">').otherwise("")
+    body = F.when(k % 4 == 2, F.concat(F.lit('<span class="big Post-Author-name">By '), k.cast("string"), F.lit("</span><time>5 May 2022</time>"))).otherwise("")
+    html = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)), F.lit("<body>"), F.concat(F.lit("<body>"), body))
+    return parquet(spark, sf_dir, "pages").withColumn("html", html)
+
+
+MARKED = r"""h AS (SELECT page_id, url, replace(replace(html, '<head>', '<head>' || CASE page_id % 4 WHEN 0 THEN '<meta name="author" content=" Ann  Lee ' || page_id || '"><meta name="date" content="2021-03-04">'
+WHEN 1 THEN '<meta property="article:published_time" content="2020-02-30"><meta name="dc.date.issued" content="2020-05-06T07:08:09+02:00">' ELSE '' END),
+'<body>', '<body>' || CASE WHEN page_id % 4 = 2 THEN '<span class="big Post-Author-name">By ' || page_id || '</span><time>5 May 2022</time>' ELSE '' END) AS html FROM pages)"""
+
+
+def _plain_sql(html: str) -> str:
+    """Text between tags, with the references that the pages have."""
+    bare = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "page_fields",
+    rf"""WITH {MARKED}, f AS (SELECT page_id, {_plain_sql(PAGE_TITLE)} AS title, {_plain_sql("regexp_extract(html, '<article>(.*?)</article>', 1, 's')")} AS article, {_plain_sql("regexp_extract(html, '<body>(.*?)(?:</body>|$)', 1, 's')")} AS body,
+coalesce(nullif(trim(regexp_replace(regexp_extract(html, '<meta name="author" content="([^"]*)"', 1), '\s+', ' ', 'g')), ''), trim(regexp_extract(html, '(?i)<[a-z]+ class="[^"]*author[^"]*">([^<]*)<', 1))) AS author,
+coalesce(nullif(regexp_extract(html, '<meta property="article:published_time" content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '<meta name="date" content="([^"]*)"', 1), ''), regexp_extract(html, '<time>([^<]*)<', 1)) AS raw FROM h)
+SELECT page_id, title, author, raw AS published_raw, CASE WHEN length(article) >= 200 THEN article ELSE body END AS text, coalesce(strftime(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d %B %Y')), '%Y-%m-%dT%H:%M:%SZ'), '') AS published_at FROM f""",
+)
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_fields(parquet(spark, sf_dir, "pages")).select("page_id", "title")
+    return pages.page_fields(marked_pages(spark, sf_dir)).select("page_id", "title", "author", "published_raw", "text", "published_at")
 
 
-@query("page_links")
+@query(
+    "page_links",
+    rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1, 's') AS l, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2, 's') AS t FROM pages),
+r AS (SELECT page_id, url, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS href, unnest(t) AS said FROM a)
+SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link_url, {_plain_sql("said")} AS link_text FROM r""",
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_links(parquet(spark, sf_dir, "pages")).select("page_id", "pos", "link_url", "link_text")
 
 
-RELEASE = "r AS (SELECT doc_id, 'Industry  Total ' || CASE WHEN doc_id % 3 = 0 THEN '9,999 and' ELSE '' END || ' ' || (15000 + doc_id % 50000) || ' units' AS text FROM documents)"
+RELEASE = """r AS (SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'In March 2024 new vehicle sales totalled ' WHEN 3 THEN 'Total vehicle sales ' ELSE 'Industry  Total ' || CASE doc_id % 4 WHEN 2 THEN '9,999 and ' ELSE '' END END
+|| (15 + (doc_id // 1000) % 45) || ',' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || CASE doc_id % 4 WHEN 3 THEN ' for the period' ELSE ' units.' END AS text FROM documents)"""
 
 
-def releases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, each with a sentence behind it that one of four ways of extraction finds."""
     k = F.col("doc_id")
-    said = F.concat(F.lit("Industry  Total "), F.when(k % 3 == 0, "9,999 and").otherwise(""), F.lit(" "), (15000 + k % 50000).cast("string"), F.lit(" units"))
-    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said) if whole else said
+    start = F.when(k % 4 == 0, "In March 2024 new vehicle sales totalled ").when(k % 4 == 1, "Industry  Total ").when(k % 4 == 2, "Industry  Total 9,999 and ").otherwise("Total vehicle sales ")
+    number = F.concat((15 + F.floor(k / 1000) % 45).cast("string"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), start, number, F.when(k % 4 == 3, " for the period").otherwise(" units."))
     return parquet(spark, sf_dir, "documents").select("doc_id", said.alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("tables"), F.concat(F.lit("2024_03_"), k.cast("string"), F.lit(".pdf")).alias("file_name"))
 
 
-@query("industry_totals", f"WITH {RELEASE} SELECT doc_id, 15000 + doc_id % 50000 AS total FROM r")
+@query(
+    "industry_totals",
+    rf"""WITH {RELEASE} SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_extract(text, 'Industry\s+Total\s+(.*)', 1, 's'), '\d{{1,3}}(?:,\d{{3}})+|\d+'), lambda x: replace(x, ',', '')::BIGINT), lambda x: x BETWEEN 10000 AND 160000)[1] AS total FROM r""",
+)
 def industry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the sentence stands behind the whole text of its document
-    return releases(spark, sf_dir, whole=True).select("doc_id", extract.industry_total_native(F.col("text")).alias("total"))
+    return releases(spark, sf_dir).select("doc_id", extract.industry_total_native(F.col("text")).alias("total"))
 
 
-@query("release_totals", f"WITH {RELEASE} SELECT doc_id, 2024 AS period_year, 3 AS period_month, 15000 + doc_id % 50000 AS total_sales_units, 'ANCHORED_INDUSTRY_TOTAL' AS extraction_method, 'medium' AS extraction_confidence, '' AS warning_flag FROM r")
+@query(
+    "release_totals",
+    rf"""WITH {RELEASE}, f AS (SELECT doc_id, doc_id % 4 AS k, regexp_extract(text, '(?:totalled|Total|and|Total vehicle sales) (\d\d,\d{{3}}) ?(?:units\.|for the period)', 1) AS said FROM r)
+SELECT doc_id, 2024 AS period_year, 3 AS period_month, replace(said, ',', '')::BIGINT AS total_sales_units, CASE k WHEN 0 THEN 'HEADLINE_REGEX' WHEN 3 THEN 'FALLBACK_SCAN' ELSE 'ANCHORED_INDUSTRY_TOTAL' END AS extraction_method,
+CASE k WHEN 0 THEN 'high' WHEN 3 THEN 'low' ELSE 'medium' END AS extraction_confidence, '' AS warning_flag FROM f""",
+)
 def release_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_totals(releases(spark, sf_dir)).select("doc_id", "period_year", "period_month", "total_sales_units", "extraction_method", "extraction_confidence", "warning_flag")
 
 
 @query(
     "best_by_month",
-    """WITH d AS (SELECT doc_id, 2019 + doc_id % 5 AS y, 1 + (doc_id // 5) % 12 AS m, doc_id % 4 AS k, doc_id % 3 AS c FROM documents)
-SELECT y::INTEGER AS period_year, m::INTEGER AS period_month, 'path ' || lpad(doc_id::VARCHAR, 9, '0') AS pdf_path FROM d QUALIFY row_number() OVER (PARTITION BY y, m ORDER BY k DESC, c DESC, doc_id) = 1""",
+    """WITH d AS (SELECT 2019 + doc_id % 5 AS y, 1 + (doc_id // 5) % 12 AS m, ['', 'FALLBACK_SCAN', 'ANCHORED_INDUSTRY_TOTAL', 'HEADLINE_REGEX'][doc_id % 4 + 1] AS method, ['low', 'medium', 'high'][doc_id % 3 + 1] AS confidence,
+coalesce(text, '') AS evidence, CASE WHEN doc_id % 11 <> 0 THEN n_chars END AS total, 'path ' || lpad(doc_id::VARCHAR, 9, '0') AS path FROM documents)
+SELECT y::INTEGER AS period_year, m::INTEGER AS period_month, path AS pdf_path FROM d QUALIFY row_number() OVER (PARTITION BY y, m ORDER BY CASE method WHEN 'HEADLINE_REGEX' THEN 3 WHEN 'ANCHORED_INDUSTRY_TOTAL' THEN 2 WHEN 'FALLBACK_SCAN' THEN 1 ELSE 0 END DESC,
+CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, (contains(lower(evidence), 'units') OR contains(lower(evidence), 'vehicles'))::INTEGER + 2 * contains(lower(evidence), 'industry total')::INTEGER + 2 * contains(lower(evidence), 'new vehicle sales')::INTEGER
++ 2 * contains(lower(evidence), 'aggregate new vehicle sales')::INTEGER + 2 * contains(lower(evidence), 'total reported industry sales')::INTEGER + 2 * contains(lower(evidence), 'total vehicle sales')::INTEGER + 2 * contains(lower(evidence), 'domestic new vehicle sales')::INTEGER DESC, total IS NOT NULL DESC, path) = 1""",
 )
 def best_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     methods, confidences = F.array(*map(F.lit, ("", "FALLBACK_SCAN", "ANCHORED_INDUSTRY_TOTAL", "HEADLINE_REGEX"))), F.array(*map(F.lit, ("low", "medium", "high")))
     rows = parquet(spark, sf_dir, "documents").select(
         (2019 + k % 5).cast("int").alias("period_year"), (1 + F.floor(k / 5) % 12).cast("int").alias("period_month"), F.get(methods, (k % 4).cast("int")).alias("extraction_method"), F.get(confidences, (k % 3).cast("int")).alias("extraction_confidence"),
-        F.lit("industry total of units").alias("evidence_window"), F.lit(1).alias("total_sales_units"), F.concat(F.lit("path "), F.lpad(k.cast("string"), 9, "0")).alias("pdf_path"),
+        F.col("text").alias("evidence_window"), F.when(k % 11 != 0, F.col("n_chars")).alias("total_sales_units"), F.concat(F.lit("path "), F.lpad(k.cast("string"), 9, "0")).alias("pdf_path"),
     )
     return panel.best_by_month(rows).select("period_year", "period_month", "pdf_path")
 
 
 @query(
     "scalar_texts",
-    r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'))[:300] AS normal, strlen(text)::BIGINT AS bytes, trim(text[greatest(91 - 40, 1):110 + 40]) AS around, (15000 + doc_id)::BIGINT AS number FROM documents""",
+    r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normal, strlen(text)::BIGINT AS bytes, trim(text[greatest(91 - 40, 1):110 + 40]) AS around, (15000 + doc_id)::BIGINT AS number FROM documents""",
 )
 def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.concat((F.lit(15) + F.floor(F.col("doc_id") / 1000)).cast("string"), F.lit(","), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))
     return parquet(spark, sf_dir, "documents").select(
-        "doc_id", F.substring(text.collapse(F.col("text")), 1, 300).alias("normal"), F.octet_length("text").cast("bigint").alias("bytes"), text.context(F.col("text"), F.lit(90), F.lit(110), 40).alias("around"), text.whole_number(spaced).alias("number")
+        "doc_id", text.collapse(F.col("text")).alias("normal"), F.octet_length("text").cast("bigint").alias("bytes"), text.context(F.col("text"), F.lit(90), F.lit(110), 40).alias("around"), text.whole_number(spaced).alias("number")
     )
 
 
@@ -424,7 +537,7 @@ def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r\x{85}\p{Z}]+', ' ', 'g')) AS normal FROM n""",
 )
 def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What scalar_texts shows the first 300 characters of, in full."""
+    """Normalised texts, repairs included."""
     return parquet(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("normal"))
 
 
@@ -434,6 +547,6 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.same_set(rows.where("total_sales_units is not null").select("month_id"), rows.select("month_id"))
 
 
-@query("event_day_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("event_day_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.day_counts(parquet(spark, sf_dir, "events")).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return streaming.day_counts(parquet(spark, sf_dir, "events")).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

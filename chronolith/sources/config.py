@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from pathlib import Path
 
+import pandas as pd
 import yaml
 
 from chronolith.operators.labeling import Ontology
@@ -52,3 +54,18 @@ def source_rules(config: dict) -> list[SourceRule]:
 
 def load_ontology(path: str | Path) -> Ontology:
     return Ontology.from_dict(load_yaml(path))
+
+
+NO_DATE = frozenset(("", "none", "null", "nan"))  # fixed values: words that stand for no date
+
+
+def config_date(value: object) -> date | None:
+    """A configured day (UTC); None for words that say none, and for what is no date."""
+    said = str(value).strip() if value is not None else ""
+    found = pd.NaT if said.lower() in NO_DATE else pd.to_datetime(said, errors="coerce", utc=True)
+    return None if pd.isna(found) else found.date()
+
+
+def source_caps(config: dict) -> dict[str, int]:
+    """How many links each source may give, for sources that say so."""
+    return {s["source_id"]: int(s["max_discovered_urls"]) for s in config.get("sources") or [] if s.get("max_discovered_urls")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions.times import parsed
+
 MANIFEST = "downloaded_at_utc string, pdf_url string, saved_path string, sha256 string, bytes bigint, http_status int, status string, error string"
 INDEX_MANIFEST = "fetched_at_utc string, url string, path string, sha256 string, bytes bigint, content_type string"
 ARTICLES = (
@@ -53,9 +55,10 @@ def snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", "content", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def snapshots(pages: DataFrame, prefix: str, text_col: str, url_col: str, fetched_col: str) -> DataFrame:
-    """Records of text snapshots: path (by a hash of the whole URL), sha256, bytes, content type."""
-    name = F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.col(url_col).cast("binary"), 256), 1, 16), F.lit(".html"))
+def snapshots(pages: DataFrame, prefix: str, text_col: str, url_col: str, fetched_col: str, by_url: bool = False) -> DataFrame:
+    """Records of text snapshots: path (by the second of fetching, or a hash of the whole URL), sha256, bytes, type."""
+    when = F.date_format(parsed(F.col(fetched_col)), "yyyyMMdd_HHmmss")
+    name = F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.col(url_col).cast("binary"), 256), 1, 16) if by_url else when, F.lit(".html"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     return pages.select(
         F.col(fetched_col).alias("fetched_at_utc"), F.col(url_col).alias("url"), name.alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), F.octet_length(text).cast("bigint").alias("bytes"), F.lit("text/html").alias("content_type")

@@ -134,4 +134,128 @@ def test_industry_totals_read_whole_texts(spark, tmp_path):
     docs = [(k, f"Long text {k} " * 50) for k in range(4)] + [(4, None), (5, "industry total 44,000 units " + "x" * 300)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["total"] for r in queries.industry_totals(spark, str(tmp_path)).collect()}
-    assert got == {k: 15000 + k for k in range(5)} | {5: 44000}
+    assert got == {0: None, 1: 15001, 2: 15002, 3: None, 4: None, 5: 44000}
+
+
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div class='related-articles'>{LONG}no</div><div class='x content'>{LONG}yes</div>", (LONG + "yes").strip()),
+        (f"<article>short</article><div class=entry-content>{LONG}<script>no</script></div>", LONG.strip()),
+        (f"<div class=story>{LONG}a</div><p>b</p>", f"{LONG}a b"),
+        (f"<article>it ΓÇô is{LONG}</article>", f"it - is{LONG}".strip()),
+    ],
+)
+def test_main_container(html, want):
+    assert pages.main_text(pages.Page(f"<body>{html}</body>")) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<meta name=author content='  A  B '><p class=author>C D</p>", "A B"),
+        ("<meta name=author content=' '><p class='x Big-AUTHOR-box'>C D</p>", "C D"),
+        ("<p class=byline>E F</p><p class=author>x</p>", "E F"),  # a text of one character is no name
+        (f"<p class=author>{LONG * 2}</p><p class=author>C D</p>", ""),
+        ("<p>none</p>", ""),
+    ],
+)
+def test_author(html, want):
+    assert pages.author(pages.Page(html)) == want
+
+
+LD = "<script type='application/ld+json'>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<meta name=sailthru.date content=2021><meta property='og:published_time' content=2020>", "2020"),
+        ("<meta name=timestamp content=1><meta name=dc.date.issued content=2022>", "2022"),
+        ("<time>5 May 2021</time><time datetime=2020></time>", "5 May 2021"),
+        (LD + '[{"datePublished":"no", "@graph":[{"x":1},{"datePublished":"2020-01-02"}]}]</script>', "2020-01-02"),
+        (LD + "{broken</script>" + LD + '{"datePublished":"2020-01-03"}</script>', "2020-01-03"),
+        (LD + '[1, {"datePublished": 2020}]</script>', "2020"),
+        ("<p>2020-01-01</p>", ""),
+    ],
+)
+def test_published(html, want):
+    assert pages.published(pages.Page(html)) == want
+
+
+def test_unparsable_date_is_looked_for_in_the_text(spark):
+    rows = [(1, f"<meta name=date content=soon><article>{LONG} 7 June 2021</article>"), (2, "<meta name=date content='2021-03-04'><p>7 June 2021</p>"), (3, "<p>x</p>"), (4, None)]
+    got = {r["id"]: (r["published_raw"], r["published_at"]) for r in pages.page_fields(spark.createDataFrame(rows, "id long, html string")).collect()}
+    assert got == {1: ("soon", "2021-06-07T00:00:00Z"), 2: ("2021-03-04", "2021-03-04T00:00:00Z"), 3: ("", ""), 4: ("", "")}
+
+
+def test_broken_patterns_are_left_out(spark):
+    assert scores(spark, Rule("X", ("a(", "b"), ("c(",)), "", "b") == 1
+    assert scores(spark, Rule("X", ("Stra\u00dfe|S", "K")), "", "\u017f \u212a") == 2  # ignoring case takes the long s and the Kelvin sign, too
+    docs = spark.createDataFrame([("abc",)], "text string")
+    assert labeling.pattern_frequency(docs, Ontology((Rule("X", ("a(", "b")),))).first()["matches"] == 1
+
+
+def test_sections(spark):
+    rule = SourceRule("s", (r"^https://x\.test/a",))
+    page = lambda k, body: (f"https://x.test/p/{k}", 200, body)
+    link = lambda *names: "".join(f"<a href='/{n}'>{n}</a>" for n in names)
+    rows = [page(1, link("a1", "b")), page(2, link("a2")), page(3, link("a1", "a3")), page(4, link("a4", "a2")), ("https://x.test/p/5", 404, link("a5")), ("https://x.test/p/6", 200, "")]
+    stored = spark.createDataFrame(rows, "url string, status int, html string")
+    found = [r["link_url"][-2:] for r in pages.section_links(stored, rule, "https://x.test/p/{page}", 1, 10).collect()]
+    assert found == ["a1", "a4", "a2", "a3"]  # pages 1, 4, 2, 3
+    assert pages.section_links(stored, rule, "https://x.test/q/{page}").count() == 0
+    chain = [("https://x.test/n", 200, link("a1") + "<a href='/m'>Next page</a><a href='/o'>next</a>"), ("https://x.test/m", 200, link("a2", "a1") + "<a href='/n'>older</a>"), ("https://x.test/o", 200, link("a9"))]
+    stored = spark.createDataFrame(chain, "url string, status int, html string")
+    assert [r["link_url"][-2:] for r in pages.chain_links(stored, rule, "https://x.test/n").collect()] == ["a1", "a2"]
+    feed = spark.createDataFrame([("<rss><item><link>https://x.test/a1</link></item><item><link>https://x.test/b</link></item></rss>",)], "xml string")
+    assert [r["link_url"] for r in pages.feed_items(feed, "xml", rule).collect()] == ["https://x.test/a1"]
+
+
+def test_panel_gate(spark):
+    rows = [("2020-01", 2020, 1, 5.0, 1, 2), ("2020-02", 2020, 3, None, -1, 2), ("2020-03", 2020, 3, None, None, 0)]
+    df = spark.createDataFrame(rows, "month_id string, period_year int, period_month int, total_sales_units double, a int, b int")
+    got = {r["check"]: (r["passed"], r["detail"]) for r in quality.panel_checks(df).collect()}
+    assert got == {"unique_month": (True, 0), "numeric": (False, 1), "not_negative": (False, 1), "month_agrees": (False, 1), "missing_sales": (True, 2)}
+    assert quality.documented_months("- 2020-03\n- 2020-02  \n* 2020-04") == ["2020-02", "2020-03"]
+    with pytest.raises(quality.GateError):
+        quality.documented_months("none")
+    month = lambda *names: spark.createDataFrame([(n,) for n in names], "month_id string")
+    quality.enforce(quality.documented_checks(df, month("2020-02", "2020-03", "2020-03")))
+    with pytest.raises(quality.GateError, match="not_missing: 1"):
+        quality.enforce(quality.documented_checks(df, month("2020-02", "2020-03", "2021-01")))
+
+
+def test_snapshot_faults_and_counts(spark):
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    rows = spark.createDataFrame([("a", "p1", digest(b"1")), ("b", "p2", digest(b"2")), ("c", "p3", digest(b"3")), ("d", "p9", "x")], "article_id string, snapshot_path string, snapshot_sha256 string")
+    files = spark.createDataFrame([("p1", bytearray(b"1")), ("p2", bytearray(b"x"))], "path string, content binary")
+    assert {r["article_id"]: r["fault"] for r in quality.snapshot_mismatches(rows, files, 3).collect()} == {"b": "differs", "c": "missing"}
+    seen, counts = quality.observed(rows, "rows", marked=F.count_if(F.col("snapshot_sha256") == "x"))
+    seen.write.format("noop").mode("overwrite").save()
+    assert counts.get == {"rows": 4, "marked": 1}
+    with pytest.raises(quality.GateError):
+        quality.require_tables(spark, ["/no/such/file"])
+
+
+def test_lag_model_by_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(f"{2019 + k // 12}-{k % 12 + 1:02d}", int(rng.integers(0, 40)), None if k % 11 == 5 else float(rng.integers(100, 200))) for k in range(50)]
+    got = {r["variable"]: r for r in stats.lag_model(spark.createDataFrame(rows, "month_id string, hits int, total_sales_units double")).collect()}
+    kept = [(m, y, x, rows[k][1]) for k, (m, x, y) in enumerate(rows[1:]) if y is not None]
+    months, years = sorted({m[5:] for m, *_ in kept})[1:], sorted({m[:4] for m, *_ in kept})[1:]
+    a = np.array([[1, x, lag, *(m[5:] == v for v in months), *(m[:4] == v for v in years)] for m, _, x, lag in kept], float)
+    y = np.array([r[1] for r in kept])
+    coef, *_ = np.linalg.lstsq(a, y, rcond=None)
+    rest = y - a @ coef
+    error = np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * (rest @ rest) / (len(y) - a.shape[1]))
+    names = ["const", "events_t", "events_t_minus_1", *(f"month_{int(m)}" for m in months), *(f"year_{y}" for y in years)]
+    for name, c, e in zip(names, coef, error, strict=True):
+        assert (got[name]["coef"], got[name]["std_err"], got[name]["n_obs"]) == (pytest.approx(c, rel=1e-6, abs=1e-6), pytest.approx(e, rel=1e-6), len(y))

@@ -1,7 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns the documents it
-keeps with their columns; the last returns the mix.
+keeps with their columns; the last returns the mix. Nulls, empty tables, repeated rows and further columns: see the
+stages themselves.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: Trained classifiers decide in two stages, which SQL cannot express; tests hold run() against a brute-force version.
+#: Trained classifiers decide in two stages, which SQL cannot express; tests/llm/test_pipeline.py holds run()
+#: against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 

@@ -21,7 +21,7 @@ from chronolith.llm.common import stored, table
 
 WORD = r"[a-z0-9A-Z\x80-\x{10FFFF}]+"  # the letters that are met most come first: the class is tested in this order
 WINDOW = 10
-SMALL = 32 << 20  # bytes of a benchmark's windows up to which they are broadcast; beyond, they are shuffled
+SMALL = 32 << 20  # bytes of a benchmark's windows, as measured, up to which they are broadcast; beyond, words are shuffled
 
 
 def lower_ascii(text: str | Column) -> Column:
@@ -57,25 +57,43 @@ def anchored(windows: DataFrame, docs: DataFrame, hint) -> DataFrame:
     return ranked.select("wid", "window", F.size("window").alias("len"), F.col("r")[0]["word"].alias("rarest"), F.col("r")[0]["at"].alias("rarest_at"), second["word"].alias("next"), second["at"].alias("next_at"))
 
 
-def find_windows(docs: DataFrame, anchors: DataFrame, hint) -> DataFrame:
-    """id, mark, start, len and wid of every occurrence of a window; docs has id, mark and words."""
+def find_windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """id, mark, start, len and wid of every occurrence of a window; docs has id, mark and words. The anchors are sent to
+    all tasks, so every document is searched where it is."""
     start = F.col("at") - F.col("rarest_at")
     near = (start >= 0) & (start + F.col("len") <= F.size("words")) & (F.get("words", start + F.col("next_at")) == F.col("next"))
-    met = docs.select("id", "mark", "words", F.posexplode("words").alias("at", "word")).join(hint(anchors), (F.col("word") == F.col("rarest")) & near)
+    met = docs.select("id", "mark", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(anchors), (F.col("word") == F.col("rarest")) & near)
     return met.where(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("len")) == F.col("window")).select("id", "mark", start.alias("start"), "len", "wid")
 
 
+def find_windows_shuffled(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The same for anchors of any number. Words travel to their anchors one by one, each with the word that follows (the
+    two make most chance meetings part), and only documents that have met one bring their text to the comparison."""
+    end = F.size("words")
+    words = docs.select("id", "mark", end.alias("n"), F.posexplode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("words", i + 1)).alias("after")))).alias("at", "w"))
+    placed = words.select("id", "mark", "n", "at", "w.word", "w.after")
+    start = F.col("at") - F.col("rarest_at")
+    follows = F.when(F.col("rarest_at") + 1 < F.col("len"), F.xxhash64(F.get("window", F.col("rarest_at") + 1)))
+    keys = anchors.select("wid", "len", "rarest", "rarest_at", follows.alias("follows"))
+    met = placed.join(keys, (F.col("word") == F.col("rarest")) & (start >= 0) & (start + F.col("len") <= F.col("n")) & (F.col("follows").isNull() | (F.col("follows") == F.col("after"))))
+    spots = met.select("id", "mark", start.alias("start"), "len", "wid").distinct()
+    texts = docs.select(F.col("id").alias("own"), F.col("mark").alias("own_mark"), "words").dropDuplicates(["own", "own_mark"])
+    found = spots.join(texts, (F.col("mark") == F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own"))).select("id", "mark", "start", "len", "wid", F.slice("words", F.col("start") + 1, F.col("len")).alias("here"))
+    return found.join(anchors.select("wid", "window"), "wid").where(F.col("here") == F.col("window")).select("id", "mark", "start", "len", "wid")
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """One row per document: id, mark (a hash of the text), n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     windows = stored(item_windows(items, item_col, item_text_col, window), "windows")
     weight = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 64)).first()[0] or 0
-    hint = F.broadcast if weight <= SMALL else (lambda df: df)
+    small = weight <= SMALL
+    hint = F.broadcast if small else (lambda df: df)
     # equal rows are alike in all respects: id and a hash of the text are key enough
     worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words_of(text_col).alias("words"))
     anchors = stored(anchored(windows, worded, hint), "anchors")
-    spans = find_windows(worded, anchors, hint).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("wid").alias("wids"))
+    spans = (find_windows if small else find_windows_shuffled)(worded, anchors).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("wid").alias("wids"))
     covered = F.aggregate(
         F.sort_array("spans"),
         F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach")),

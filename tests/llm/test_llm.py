@@ -242,7 +242,9 @@ def brute_hits(texts, items, n=10):
         yield len(w), len(hit), sorted(ids)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("small", [decontaminate.SMALL, 0], ids=["sent", "shuffled"])
+def test_decontamination(spark, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
     rng = random.Random(3)
     items = [(10, words(rng, 30, 50)), (9, "ÉCOLE Ünd b"), (8, None), (7, "..."), (6, "école"), (None, "w1 w2")]
     items.append((5, items[0][1]))
@@ -250,6 +252,9 @@ def test_decontamination(spark):
     got = decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = [(k, *x) for k, x in enumerate(brute_hits(texts, [x for x in items if x[0] is not None]))]
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in got) == want
+    odd = docs(spark, texts).withColumns({c: F.lit("x") for c in ("mark", "words", "at", "start", "wid", "hit_id")}).withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")))
+    wide = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, len long")
+    assert sorted((r["n_words"], r["n_hit"], list(r["item_ids"])) for r in decontaminate.contamination(odd, wide).collect()) == sorted(x[1:] for x in want)
     none = decontaminate.contamination(docs(spark, texts), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
 

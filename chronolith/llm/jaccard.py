@@ -47,6 +47,7 @@ from chronolith.llm.common import done_with, map_arrow, stored, table
 WORDS = 5
 CLASS = 3 << 61  # hashes below, three eighths of all, come first in the order of shingles
 BLOCK = 256  # documents of a block
+SMALL = 64  # documents of a stretch of a block up to which it is looked into pair by pair
 TREE = 4  # blocks' worth of documents of a tree
 BLOCK_SHINGLES = 1 << 22  # their shingles
 TOPS = 3  # documents of a part that stand for it on the next level
@@ -312,25 +313,30 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
 
 
 def prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """key, id, n and d for every shingle of a document's prefix that some similar document may share.
+    """key, id, n, d and m for every shingle of a document's prefix that some similar document may share. m is the size of
+    the largest document of which, by the shingle's position, it may be the first shared one.
 
     Of the shingles that come first in the order, those that no other document of a similar size has are counted, not
     listed: the prefix holds them before all others. That keeps the prefix's promise, as similar documents need to agree
     on the order of the shingles that they share, and on no other.
     """
     rows = whole.where("p is not null")
-    met = rows.select(F.explode("first").alias("key"), "id", "n", "d", (F.col("p") - F.size("first")).alias("over"))
+    ahead = F.size("first")  # shingles of the document that come before its others
+    met = rows.select(F.explode("first").alias("key"), "id", "n", "d", (F.col("p") - ahead).alias("over"), ahead.alias("ahead"))
     by_size = Window.partitionBy("key").orderBy("n")
     neighbours = {"df": F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}
     near = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
     shared = met.withColumns(neighbours).where(near).drop("below", "above")
     own = Window.partitionBy("id", "d")
     placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
-    chosen = placed.where(F.col("place") <= F.col("over") + F.col("all"))
-    return chosen.select("key", "id", "n", "d").unionByName(rows.select(F.explode("rest").alias("key"), "id", "n", "d"))
+    chosen = placed.where(F.col("place") <= F.col("over") + F.col("all")).withColumn("at", F.col("ahead") - F.col("all") + F.col("place"))
+    others = rows.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", ahead.alias("ahead")).withColumn("at", F.col("ahead") + F.col("k") + 1)
+    # the overlap with a document of size m must not exceed what comes from here on: percent (n + m) <= (100 + percent) (n + 1 - at)
+    most = (F.floor((100 + percent) * (F.col("n") + 1 - F.col("at")) / percent) - F.col("n")).cast("long").alias("m")
+    return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most))
 
 
-_BLOCKS = "kind int, hub bigint, ids array<bigint>, h bigint, id bigint, n bigint, d bigint"
+_BLOCKS = "kind int, hub bigint, ids array<bigint>, h bigint, id bigint, n bigint, d bigint, m bigint"
 _BLOCK, _TOP, _LONG = 0, 1, 2
 
 
@@ -343,7 +349,7 @@ class _Cutter:
         self.seen: set[tuple[int, int]] = set()
         self.rows: list[tuple] = []
 
-    def run(self, key: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, long: bool) -> None:
+    def run(self, key: int, ids: np.ndarray, n: np.ndarray, d: np.ndarray, m: np.ndarray, long: bool) -> None:
         """All rows of a key, or, if it is long, some: in parts of a bounded size."""
         long = long or key in self.shingle_of
         h = self.shingle_of.get(key, key)
@@ -352,22 +358,35 @@ class _Cutter:
             end = int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_SHINGLES, "right"))
             end = min(max(end, start + 1), start + self.size, len(ids))
             long = long or end < len(ids)
-            self.parts(np.zeros(end - start, np.int64), ids[start:end], n[start:end], d[start:end], h if long else None)
+            self.parts(np.zeros(end - start, np.int64), ids[start:end], n[start:end], d[start:end], m[start:end], h if long else None)
             start = end
 
-    def parts(self, run: np.ndarray, ids: np.ndarray, n: np.ndarray, d: np.ndarray, h: int | None) -> None:
+    def parts(self, run: np.ndarray, ids: np.ndarray, n: np.ndarray, d: np.ndarray, m: np.ndarray, h: int | None) -> None:
         """Rows of parts (numbered by run), each sorted by d: equal sets are one row; sizes that are too far apart do not
-        share a block. h: the shingle of a part of a long key."""
+        share a block, and a document that can have no partner there is left out. h: the shingle of a part of a long
+        key."""
         new = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1])]))[0]
-        run, ids, n, d = run[new], np.minimum.reduceat(ids, new), n[new], d[new]
+        run, ids, n, d, m = run[new], np.minimum.reduceat(ids, new), n[new], d[new], np.maximum.reduceat(m, new)
         order = np.lexsort((d, n, run))
-        run, ids, n, d = run[order], ids[order], n[order], d[order]
-        starts = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (100 * n[:-1] < self.percent * n[1:])]))[0]
-        ends = np.concatenate([starts[1:], [len(run)]])
+        run, ids, n, d, m = run[order], ids[order], n[order], d[order], m[order]
+        if h is not None:
+            self.rows += [(_LONG, None, None, h, int(i), int(x), None, None) for i, x in zip(ids, n, strict=True)]
+        starts, ends = self.cuts(run, n)
         if h is not None:
-            self.rows += [(_LONG, None, None, h, int(i), int(m), None) for i, m in zip(ids, n, strict=True)]
             for a, b in zip(starts, ends, strict=True):
-                self.rows += [(_TOP, None, None, h, int(ids[k]), int(n[k]), int(d[k])) for k in a + np.argsort(d[a:b], kind="stable")[:TOPS]]
+                self.rows += [(_TOP, None, None, h, int(ids[k]), int(n[k]), int(d[k]), int(m[k])) for k in a + np.argsort(d[a:b], kind="stable")[:TOPS]]
+        keep = np.repeat(ends - starts > 1, ends - starts)
+        for x in np.nonzero((ends - starts > 1) & (ends - starts <= SMALL))[0]:
+            a, b = starts[x], ends[x]
+            size, most = n[a:b], m[a:b]
+            fits = (size[None, :] <= most[:, None]) & (100 * size[None, :] >= self.percent * size[:, None])
+            fits &= fits.T
+            np.fill_diagonal(fits, False)
+            keep[a:b] = fits.any(1)
+        run, ids, n = run[keep], ids[keep], n[keep]
+        if not len(run):
+            return
+        starts, ends = self.cuts(run, n)
         hashes = _mix(ids.view(np.uint64))
         keys = np.add.reduceat(hashes, starts), np.add.reduceat(_mix(hashes), starts)
         several = np.nonzero(ends - starts > 1)[0]
@@ -379,26 +398,31 @@ class _Cutter:
                     self.seen.clear()
                 self.seen.add(key)
                 a, b = starts[x], ends[x]
-                self.rows.append((_BLOCK, int(ids[a + hashes[a:b].argmin()]), ids[a:b], None, None, None, None))
+                self.rows.append((_BLOCK, int(ids[a + hashes[a:b].argmin()]), ids[a:b], None, None, None, None, None))
+
+    def cuts(self, run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of stretches of one part whose sizes lie close."""
+        starts = np.nonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (100 * n[:-1] < self.percent * n[1:])]))[0]
+        return starts, np.concatenate([starts[1:], [len(run)]])
 
     def out(self) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4)
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 5)
         cols = list(zip(*self.rows, strict=True)) or [()] * len(kinds)
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "hub", "ids", "h", "id", "n", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "hub", "ids", "h", "id", "n", "d", "m"])
 
 
 def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int) -> DataFrame:
-    """Rows of _BLOCKS from rows of key, id, n and d, which come by key, sorted by key and d. No more than a part of a
+    """Rows of _BLOCKS from rows of key, id, n, d and m, which come by key, sorted by key and d. No more than a part of a
     key's rows, or a batch, is held."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(percent, shingle_of, size)
         known = np.array(sorted(shingle_of), np.int64)
-        none = [np.zeros(0, np.int64)] * 4
+        none = [np.zeros(0, np.int64)] * 5
         held, long = none, False  # rows of the last key so far; whether parts of it are cut already
         for batch in batches:
-            key, ids, n, d = (np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns, strict=True))
+            key, ids, n, d, m = (np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns, strict=True))
             edges = np.nonzero(key[1:] != key[:-1])[0] + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
             special = (ends - starts > size) | np.isin(key[starts], known)
@@ -407,7 +431,7 @@ def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int)
             plain[-1] = special[-1] = False
             for k in np.nonzero(special)[0]:
                 a, b = starts[k], ends[k]
-                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], long and k == 0)
+                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], m[a:b], long and k == 0)
             if plain.any():
                 lengths = ends - starts
                 at = np.repeat(plain, lengths)
@@ -415,18 +439,18 @@ def blocks(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int)
                 heavy = np.bincount(run, n[at], len(starts)) > BLOCK_SHINGLES
                 for k in np.nonzero(heavy)[0]:
                     a, b = starts[k], ends[k]
-                    cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], False)
+                    cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], m[a:b], False)
                 light = ~heavy[run]
                 if light.any():
-                    cutter.parts(run[light], ids[at][light], n[at][light], d[at][light], None)
+                    cutter.parts(run[light], ids[at][light], n[at][light], d[at][light], m[at][light], None)
             long = long and len(starts) == 1
             a = int(starts[-1])
             if len(key) - a > size:  # whole parts of a key that goes on
                 b = a + (len(key) - a) // size * size
                 b -= size if b == len(key) else 0
-                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], True)
+                cutter.run(int(key[a]), ids[a:b], n[a:b], d[a:b], m[a:b], True)
                 a, long = b, True
-            held = [x[a:] for x in (key, ids, n, d)]
+            held = [x[a:] for x in (key, ids, n, d, m)]
             if len(cutter.rows) > 20_000:
                 yield cutter.out()
         if len(held[0]) > 1 or long or (len(held[0]) and int(held[0][0]) in shingle_of):
@@ -488,7 +512,7 @@ def forest(rows: DataFrame, percent: int, shingle_of: dict[int, int], size: int
         if not n or (before is not None and n >= before):
             break
         before = n
-        found.append(stored(blocks(dealt(tops.select(F.col("h").alias("key"), "id", "n", "d").distinct()), percent, {}, size), "blocks", few=True))
+        found.append(stored(blocks(dealt(tops.select(F.col("h").alias("key"), "id", "n", "d", "m").distinct()), percent, {}, size), "blocks", few=True))
     every = found[0].where(F.col("kind") == _BLOCK)
     for more in found[1:]:
         every = every.unionByName(more.where(F.col("kind") == _BLOCK))

@@ -14,8 +14,9 @@ verified on the sets themselves.
 
 The order of shingles puts those first whose hash is in a fixed part of its range (CLASS) and that few documents have.
 Their document frequencies are counted exactly. A document that has as many shingles there that no document of similar
-size shares as its prefix is long has no partner and goes no further, so what is left grows with the repetition in a corpus. Shingles that are known to
-be common come last.
+size shares as its prefix is long has no partner and goes no further, so what is left grows with the repetition in a
+corpus. Shingles that are known to be common come last. The position of a shared shingle bounds what can follow it, and so
+the size of a partner that meets the document there first.
 
 No group's pairs are all written. A tree with few candidate pairs gives all of them; one with many gives, of each
 document, the likeliest and one that all are likely to share, and stays open. Once those are verified and components
@@ -312,13 +313,13 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
     return map_arrow(docs, describe, _DOCS)
 
 
-def prefixes(whole: DataFrame, percent: int) -> DataFrame:
+def prefixes(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """key, id, n, d and m for every shingle of a document's prefix that some similar document may share. m is the size of
     the largest document of which, by the shingle's position, it may be the first shared one.
 
     Of the shingles that come first in the order, those that no other document of a similar size has are counted, not
     listed: the prefix holds them before all others. That keeps the prefix's promise, as similar documents need to agree
-    on the order of the shingles that they share, and on no other.
+    on the order of the shingles that they share, and on no other. Also a table to remove.
     """
     rows = whole.where("p is not null")
     ahead = F.size("first")  # shingles of the document that come before its others
@@ -326,14 +327,16 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
     by_size = Window.partitionBy("key").orderBy("n")
     neighbours = {"df": F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}
     near = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
-    shared = met.withColumns(neighbours).where(near).drop("below", "above")
+    listed = stored(met.withColumns(neighbours).where(near).drop("below", "above"), "shared")
+    few = listed.groupBy("id").agg(F.count("*").alias("all"), F.max("over").alias("over")).where(F.col("all") + F.col("over") > 0).select("id")  # too few of their own
+    shared = listed.join(few, "id", "left_semi")
     own = Window.partitionBy("id", "d")
     placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
     chosen = placed.where(F.col("place") <= F.col("over") + F.col("all")).withColumn("at", F.col("ahead") - F.col("all") + F.col("place"))
     others = rows.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", ahead.alias("ahead")).withColumn("at", F.col("ahead") + F.col("k") + 1)
     # the overlap with a document of size m must not exceed what comes from here on: percent (n + m) <= (100 + percent) (n + 1 - at)
     most = (F.floor((100 + percent) * (F.col("n") + 1 - F.col("at")) / percent) - F.col("n")).cast("long").alias("m")
-    return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most))
+    return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most)), listed
 
 
 _BLOCKS = "kind int, hub bigint, ids array<bigint>, h bigint, id bigint, n bigint, d bigint, m bigint"
@@ -722,8 +725,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = stored(described(rows, common, percent), "described")
     nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
     points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
-    trees, long, spent = forest(prefixes(whole, percent), percent, shingle_of, block)
-    done_with(whole)
+    keyed, listed = prefixes(whole, percent)
+    trees, long, spent = forest(keyed, percent, shingle_of, block)
+    done_with(whole, listed)
     # ids of equal sets, and of several sets under one id
     same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied", few=True)
     several = nodes.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")

@@ -527,3 +527,41 @@ def test_stages(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert stages.not_toxic(df, labels).count() == len(texts)
     assert stages.mixed(df).where("taken > 2 * size or taken <= 0").count() == 0
+
+
+def test_pages_of_odd_shape(spark):
+    """Extra columns named like the operator's, repeated rows, null ids, very long pages and words, empty tables."""
+    long = "<p>" + "word " * 200_000 + "</p><p>" + "x" * 500_000 + "</p>" + "<b>" * 20_000
+    rows = [(1, "http://a.test/", f"<article>{long}</article>", "x", 1, 2), (None, "http://a.test/", "<article><p>No id</article>", "x", 1, 2), (2, None, None, "x", 1, 2), (3, "http://a.test/", "", "x", 1, 2), (3, "http://a.test/", "", "x", 1, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, classes long, text long")
+    got = template.extract(df).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 5 and text[None] == "No id" and text[2] == text[3] == ""
+    assert text[1] == ("word " * 200_000).strip() + "\n\n" + "x" * 500_000
+    assert template.extract(df.limit(0)).count() == 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    rng = random.Random(20)
+    texts = [f"{words(rng, 50)} {'vexgrub ' * (k % 2)}" for k in range(60)] + [None, "", "vexgrub " * 50_000, "y" * 300_000]
+    df = docs(spark, texts).withColumns({c: F.lit(1) for c in ("toxic", "half", "draw", "score", "before")})
+    labels = spark.createDataFrame([(k, k % 2, "x", 1) for k in range(60)] + [(0, 0, "x", 1), (None, 1, "x", 1), (5, None, "x", 1), (999, 1, "x", 1)], "doc_id long, toxic int, text string, draw int")
+    model = toxicity.fit(df, labels, sample_chars=9000)  # about half of the texts of each class
+    got = toxicity.classify(df.union(df.where("doc_id = 3")), model).collect()
+    assert len(got) == 65 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= toxicity.CUT) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+    assert toxicity.classify(df.limit(0), model).count() == 0
+    one_class = toxicity.fit(df, labels.where("toxic = 1"))
+    assert {r["predicted"] for r in toxicity.classify(df, one_class).collect()} == {0}
+
+
+def test_other_operators_of_odd_tables(spark):
+    """Extra columns named like the operators', null ids, very long texts."""
+    texts = ["a b c", "word " * 100_000, "x" * 300_000, None]
+    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    mixed = mixing.mix(df.withColumns({c: F.lit(9) for c in ("size", "of", "rank", "bucket", "target", "edge", "documents")})).collect()
+    assert len(mixed) == 4 and sum(r["size"] for r in mixed) == 100_004
+    odd = df.withColumns({c: F.lit("q") for c in ("rid", "tf", "c", "base", "score", "learns")})
+    assert {r["n_tokens"] for r in lattice.lm_scores(odd, F.col("doc_id") != 3).collect()} == {4, 100_001, 2, 1}
+    linked = jaccard.jaccard_components(df.withColumns({c: F.lit("q") for c in ("n", "key", "hub", "label", "k", "point")})).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"]) for r in linked) == [(0, 1), (1, 1), (2, 1), (3, 0)]

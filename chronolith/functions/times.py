@@ -63,7 +63,7 @@ def date_in_text(text: Column) -> Column:
     plain = rf"\b{_YEAR}[-/](0[1-9]|1[0-2])[-/]([0-3]\d)\b"
     parts = [F.regexp_extract(text, plain, k) for k in (1, 2, 3)]
     second = F.when(F.regexp_extract(text, plain, 1) != "", F.concat_ws("-", *parts))
-    return F.try_to_date(F.coalesce(first, second), "yyyy-MM-dd")
+    return F.when(text.rlike(_YEAR), F.try_to_date(F.coalesce(first, second), "yyyy-MM-dd"))  # most texts have no year: a quick look
 
 
 def event_time(published: Column, raw: Column, url: Column, fetched: Column) -> Column:
@@ -102,7 +102,7 @@ def period_phrase(head: Column, near: int = NEAR) -> Column:
     first, at = F.regexp_extract(head, _ANY_MONTH, 0), F.regexp_instr(head, F.lit(_ANY_MONTH))  # its place counts from 1
     low = F.greatest(at - near, F.lit(1))
     sales = F.lower(F.substring(head, low, at + F.length(first) + near - low)).contains("sales")
-    return F.coalesce(*explicit, F.when(sales, F.nullif(first, F.lit(""))))
+    return F.when(head.rlike(_YEAR), F.coalesce(*explicit, F.when(sales, F.nullif(first, F.lit("")))))  # most texts have no year: a quick look
 
 
 def with_period_of_text(df: DataFrame, text_col: str, year: str = "text_year", month: str = "text_month") -> DataFrame:

@@ -252,12 +252,13 @@ def _salt(h: int, part: int) -> int:
     return int(_mix(np.array([(h + 0x9E3779B97F4A7C15 * (part + 1)) % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
-_DOCS = "id bigint, n bigint, digest binary, d bigint, point binary, p int, first array<bigint>, rest array<bigint>"
+_DOCS = "id bigint, n bigint, digest binary, d bigint, point binary, p int, ahead int, first array<bigint>, rest array<bigint>"
 
 
 def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFrame:
     """Of each document the size and digest of its set and, of the first of equal sets in a task, the point, the length p
-    of its prefix, all shingles that come first in the order (by CLASS), and, if they are fewer than p, the next ones.
+    of its prefix, all shingles that come first in the order (by CLASS) and their number, and, if they are fewer than p, the
+    next ones.
 
     A shingle that is known to be hot is replaced by one of its keys, by the document's id.
     """
@@ -280,13 +281,13 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
         known: set[bytes] = set()
         for batch in batches:
             for ids, texts in _chunks(batch):
-                n, digests, points, lengths, firsts, rests = [], [], [], [], [], []
+                n, digests, points, lengths, aheads, firsts, rests = [], [], [], [], [], [], []
                 for i, s in zip(ids, shingle_sets(texts), strict=True):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
                     digests.append(digest)
                     if i is None or not len(s) or digest in known:
-                        for column in (points, lengths, firsts, rests):
+                        for column in (points, lengths, aheads, firsts, rests):
                             column.append(None)
                         continue
                     if len(known) > 300_000:
@@ -302,41 +303,40 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
                     if cut + len(rest) < p:
                         rest = np.concatenate([rest, beyond(i, s[is_common], times[at[is_common]], p - cut - len(rest))])
                     lengths.append(p)
+                    aheads.append(cut)
                     firsts.append(rare[:cut].view(np.int64))
                     rests.append(rest)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 d = [int.from_bytes(x[:8], "little", signed=True) for x in digests]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip((ids, n, digests, d, points, lengths, firsts, rests), kinds, strict=True)], names=["id", "n", "digest", "d", "point", "p", "first", "rest"]
+                    [pa.array(c, k) for c, k in zip((ids, n, digests, d, points, lengths, aheads, firsts, rests), kinds, strict=True)], names=["id", "n", "digest", "d", "point", "p", "ahead", "first", "rest"]
                 )
 
     return map_arrow(docs, describe, _DOCS)
 
 
-def prefixes(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def prefixes(whole: DataFrame, percent: int) -> DataFrame:
     """key, id, n, d and m for every shingle of a document's prefix that some similar document may share. m is the size of
     the largest document of which, by the shingle's position, it may be the first shared one.
 
     Of the shingles that come first in the order, those that no other document of a similar size has are counted, not
     listed: the prefix holds them before all others. That keeps the prefix's promise, as similar documents need to agree
-    on the order of the shingles that they share, and on no other. Also a table to remove.
+    on the order of the shingles that they share, and on no other. Only row numbers and sizes travel with the shingles.
     """
     rows = whole.where("p is not null")
-    ahead = F.size("first")  # shingles of the document that come before its others
-    met = rows.select(F.explode("first").alias("key"), "id", "n", "d", (F.col("p") - ahead).alias("over"), ahead.alias("ahead"))
+    met = rows.select(F.explode("first").alias("key"), "row", "n")
     by_size = Window.partitionBy("key").orderBy("n")
     neighbours = {"df": F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)}
     near = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
-    listed = stored(met.withColumns(neighbours).where(near).drop("below", "above"), "shared")
-    few = listed.groupBy("id").agg(F.count("*").alias("all"), F.max("over").alias("over")).where(F.col("all") + F.col("over") > 0).select("id")  # too few of their own
-    shared = listed.join(few, "id", "left_semi")
-    own = Window.partitionBy("id", "d")
+    shared = met.withColumns(neighbours).where(near).select("key", "row", "df")
+    own = Window.partitionBy("row")
     placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
-    chosen = placed.where(F.col("place") <= F.col("over") + F.col("all")).withColumn("at", F.col("ahead") - F.col("all") + F.col("place"))
-    others = rows.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", ahead.alias("ahead")).withColumn("at", F.col("ahead") + F.col("k") + 1)
+    known = placed.join(rows.select("row", "id", "n", "d", "p", "ahead"), "row")
+    chosen = known.where(F.col("place") <= F.col("p") - F.col("ahead") + F.col("all")).withColumn("at", F.col("ahead") - F.col("all") + F.col("place"))
+    others = rows.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", "ahead").withColumn("at", F.col("ahead") + F.col("k") + 1)
     # the overlap with a document of size m must not exceed what comes from here on: percent (n + m) <= (100 + percent) (n + 1 - at)
     most = (F.floor((100 + percent) * (F.col("n") + 1 - F.col("at")) / percent) - F.col("n")).cast("long").alias("m")
-    return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most)), listed
+    return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most))
 
 
 _BLOCKS = "kind int, hub bigint, ids array<bigint>, h bigint, id bigint, n bigint, d bigint, m bigint"
@@ -722,12 +722,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = common_shingles(rows)
     shingle_of = {_salt(h, part): h for h, c in common.items() if c > HOT for part in range(-(-c // HOT))}
-    whole = stored(described(rows, common, percent), "described")
+    whole = stored(described(rows, common, percent).withColumn("row", F.monotonically_increasing_id()), "described")
     nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
     points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
-    keyed, listed = prefixes(whole, percent)
-    trees, long, spent = forest(keyed, percent, shingle_of, block)
-    done_with(whole, listed)
+    trees, long, spent = forest(prefixes(whole, percent), percent, shingle_of, block)
+    done_with(whole)
     # ids of equal sets, and of several sets under one id
     same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied", few=True)
     several = nodes.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")

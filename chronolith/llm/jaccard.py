@@ -379,9 +379,14 @@ class _Cutter:
             for a, b in zip(starts, ends, strict=True):
                 self.rows += [(_TOP, None, None, h, int(ids[k]), int(n[k]), int(d[k]), int(m[k])) for k in a + np.argsort(d[a:b], kind="stable")[:TOPS]]
         keep = np.repeat(ends - starts > 1, ends - starts)
-        for x in np.nonzero((ends - starts > 1) & (ends - starts <= SMALL))[0]:
+        for x in np.nonzero(ends - starts > 1)[0]:
             a, b = starts[x], ends[x]
             size, most = n[a:b], m[a:b]
+            if b - a > SMALL:  # at least the smallest other document of a similar size must fit
+                own = np.arange(b - a)
+                least = np.searchsorted(size, -(-self.percent * size // 100))
+                keep[a:b] = size[np.minimum(np.where(least == own, own + 1, least), b - a - 1)] <= most
+                continue
             fits = (size[None, :] <= most[:, None]) & (100 * size[None, :] >= self.percent * size[:, None])
             fits &= fits.T
             np.fill_diagonal(fits, False)

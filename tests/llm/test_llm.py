@@ -320,9 +320,11 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_components(docs(spark, ODD).limit(0)).count() == 0
 
 
-def test_jaccard_join_long_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [jaccard.SMALL, 2])
+def test_jaccard_join_long_blocks(spark, monkeypatch, small):
     """Blocks of more rows than a part holds, hot shingles dealt to several tasks, and a hot block of unlike documents."""
     monkeypatch.setattr(jaccard, "HOT", 10)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rng = random.Random(16)
     base = [f"b{k}" for k in range(60)]
     texts = []

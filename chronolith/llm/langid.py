@@ -94,8 +94,8 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_per_lang: int = 400,
-    longest: int = 5,
+    sample_per_lang: int = 150,
+    longest: int = 4,
 ) -> LanguageModel:
     """Fit on labelled rows. Rows without a text or a language are left out.
 
@@ -137,14 +137,17 @@ def fit(
             )
 
     counts = map_arrow(sample.select("lang", "text"), count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    found = counts.collect()  # the words and n-grams of the sample
+    found = counts.toArrow()  # the words and n-grams of the sample
     totals: Counter[tuple[str, int]] = Counter()
-    for lang, n, _, c in found:
-        totals[lang, n] += c
     words: dict[str, list[float]] = {}
     grams: dict[str, list[float]] = {}
-    for lang, n, gram, c in found:
-        (grams if n else words).setdefault(gram, [PENALTY] * len(langs))[langs.index(lang)] = max(PENALTY, math.log10(c / totals[lang, n]))
+    for batch in found.to_batches(max_chunksize=20_000):
+        for lang, n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            totals[lang, n] += c
+    at = {lang: k for k, lang in enumerate(langs)}
+    for batch in found.to_batches(max_chunksize=20_000):
+        for lang, n, gram, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            (grams if n else words).setdefault(gram, [PENALTY] * len(langs))[at[lang]] = max(PENALTY, math.log10(c / totals[lang, n]))
     return LanguageModel(langs, rows, {k: tuple(v) for k, v in words.items()}, {k: tuple(v) for k, v in grams.items()}, longest)
 
 

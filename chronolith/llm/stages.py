@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import decontaminate, jaccard, langid, mixing, toxicity
-from chronolith.llm.common import map_arrow, stored
+from chronolith.llm.common import map_arrow, release, stored
 
 LEAST_SCORE = 0.4  # of a language, for a document to stay
 
@@ -28,6 +28,7 @@ LEAST_SCORE = 0.4  # of a language, for a document to stay
 def keep_where(docs: DataFrame, model, keeps: Callable[[object, str | None], bool], text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose text the model keeps."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    release()  # what fitting the model took
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

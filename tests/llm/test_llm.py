@@ -434,7 +434,7 @@ def lattice_total(model, s):
     return out
 
 
-def brute_language(train, text, longest=5):
+def brute_language(train, text, longest=4):
     """Word-first backoff spelled out: language and score of a text, learnt from (lang, text) rows."""
     split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
     langs = sorted({lang for lang, _ in train})

@@ -315,8 +315,16 @@ def described(docs: DataFrame, common: dict[int, int], percent: int) -> DataFram
     return map_arrow(docs, describe, _DOCS)
 
 
-def prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """key, id, n, d and m for every shingle of a document's prefix that some similar document may share. m is the size of
+def spare_rows(nodes: DataFrame) -> DataFrame:
+    """Rows of sets that another row stands for: of those that describe one set, the row of the smallest id stays."""
+    first = nodes.where("first")
+    several = first.groupBy("digest").agg(F.min(F.struct("id", "row"))["row"].alias("stays"), F.count("*").alias("rows")).where("rows > 1").select("digest", "stays")
+    return first.join(several, "digest").where("row <> stays").select("row")
+
+
+def prefixes(whole: DataFrame, spare: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, d and m for every shingle of a document's prefix that some similar document may share; spare rows, whose
+    sets other rows have, only count. m is the size of
     the largest document of which, by the shingle's position, it may be the first shared one.
 
     Of the shingles that come first in the order, those that no other document of a similar size has are counted, not
@@ -331,9 +339,10 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
     shared = met.withColumns(neighbours).where(near).select("key", "row", "df")
     own = Window.partitionBy("row")
     placed = shared.withColumns({"place": F.row_number().over(own.orderBy("df", "key")), "all": F.count("*").over(own)})
-    known = placed.join(rows.select("row", "id", "n", "d", "p", "ahead"), "row")
+    known = placed.join(rows.select("row", "id", "n", "d", "p", "ahead").join(spare, "row", "left_anti"), "row")
     chosen = known.where(F.col("place") <= F.col("p") - F.col("ahead") + F.col("all")).withColumn("at", F.col("ahead") - F.col("all") + F.col("place"))
-    others = rows.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", "ahead").withColumn("at", F.col("ahead") + F.col("k") + 1)
+    listed = rows.where(F.size("rest") > 0).select("rest", "row", "id", "n", "d", "ahead").join(spare, "row", "left_anti")
+    others = listed.select(F.posexplode("rest").alias("k", "key"), "id", "n", "d", "ahead").withColumn("at", F.col("ahead") + F.col("k") + 1)
     # the overlap with a document of size m must not exceed what comes from here on: percent (n + m) <= (100 + percent) (n + 1 - at)
     most = (F.floor((100 + percent) * (F.col("n") + 1 - F.col("at")) / percent) - F.col("n")).cast("long").alias("m")
     return chosen.select("key", "id", "n", "d", most).unionByName(others.select("key", "id", "n", "d", most))
@@ -728,10 +737,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = common_shingles(rows)
     shingle_of = {_salt(h, part): h for h, c in common.items() if c > HOT for part in range(-(-c // HOT))}
     whole = stored(described(rows, common, percent).withColumn("row", F.monotonically_increasing_id()), "described")
-    nodes = stored(whole.select("id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
+    nodes = stored(whole.select("row", "id", "n", "digest", F.col("point").isNotNull().alias("first")), "nodes", few=True)
+    spare = stored(spare_rows(nodes), "spare", few=True)
     points = stored(whole.where("point is not null").select("id", "n", "point"), "points")
-    trees, long, spent = forest(prefixes(whole, percent), percent, shingle_of, block)
-    done_with(whole)
+    trees, long, spent = forest(prefixes(whole, spare, percent), percent, shingle_of, block)
+    done_with(whole, spare)
     # ids of equal sets, and of several sets under one id
     same = stored(nodes.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copied", few=True)
     several = nodes.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")

@@ -360,6 +360,22 @@ def test_jaccard_join_long_blocks(spark, monkeypatch, small):
     assert got == brute_components(texts)
 
 
+def test_jaccard_join_lists_a_copied_set_once(spark):
+    """Copies in different tasks are one set of the forest, and still all linked."""
+    rng = random.Random(31)
+    one, other = words(rng, 60, 4000), words(rng, 60, 4000)
+    texts = [one] * 12 + [one + " more"] * 8 + [other] * 5 + [None, "", words(rng, 60, 4000)]
+    df = docs(spark, texts).repartition(6)
+    rows = df.select(F.col("doc_id").alias("id"), "text")
+    whole = jaccard.stored(jaccard.described(rows, {}, 75).withColumn("row", F.monotonically_increasing_id()), "described")
+    spare = jaccard.spare_rows(whole.select("row", "id", "n", "digest", F.col("point").isNotNull().alias("first")))
+    assert whole.where("point is not null").count() > 4
+    assert whole.where("point is not null").join(spare, "row", "left_anti").count() == 4
+    assert jaccard.prefixes(whole, spare, 75).select("id").distinct().count() <= 4
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert got == dict(enumerate([0] * 20 + [20] * 5 + [25, 26, 27]))
+
+
 def test_jaccard_join_ids_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a), (2, a), (2, b), (3, b + " z"), (4, c), (None, c), (5, None), (4, c)]

@@ -12,30 +12,34 @@ that occur several times are judged alike; one_of_each_group keeps one row of an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import decontaminate, jaccard, langid, mixing, toxicity
-from chronolith.llm.common import map_arrow, release, stored
+from chronolith.llm.common import release, stored
+from chronolith.shipping import ship
 
 LEAST_SCORE = 0.4  # of a language, for a document to stay
 
 
 def keep_where(docs: DataFrame, model, keeps: Callable[[object, str | None], bool], text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose text the model keeps."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    """The rows of docs, with all columns, whose text the model keeps. Only texts go to the workers, a hundred at a time;
+    rows stay where they are. Arrow batches would hold up to 10,000 rows with all columns, in the JVM and in the worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    ship(docs.sparkSession)
     release()  # what fitting the model took
+    begun: list[bool] = []  # in each task
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            yield batch.filter(pa.array([keeps(own, text.as_py()) for text in batch.column(at)], pa.bool_()))
+    def keep(text: str | None) -> bool:
+        if not begun:
+            begun.append(True)
+            release()  # what the worker's last task took
+        return bool(keeps(sent.value, text))
 
-    return map_arrow(docs, keep, docs.schema)
+    return docs.where(F.udf(keep, "boolean", useArrow=False)(F.col(text_col)))
 
 
 def _speaks(model: langid.LanguageModel, text: str | None) -> bool:

@@ -49,6 +49,7 @@ TRAINED = 16  # bytes to train on for each of the toxic dictionary
 SENT = 500_000  # labelled ids that are sent to where the documents are; more are joined by a shuffle
 HELD = 300_000  # words that a task counts before it gives their numbers
 MEMO = 400_000  # windows whose differences a worker remembers
+AT_ONCE = 500  # texts of an Arrow batch while fitting
 
 
 def windows(text: str | None) -> set[str]:
@@ -188,7 +189,7 @@ def counted(texts: DataFrame) -> DataFrame:
         yield from out()
 
     found = map_arrow(texts.select("toxic", "half", "text"), count, "window string, k int, n bigint")
-    return stored(found.groupBy("window").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k // 2}{k % 2}") for k in range(4)]), "seen")
+    return stored(found.groupBy("window").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k // 2}{k % 2}") for k in range(4)]), "seen", rows_per_batch=AT_ONCE)
 
 
 def frequent(seen: DataFrame, most: int) -> dict[str, int]:
@@ -266,7 +267,7 @@ def fit(
 
         return map_arrow(texts.where(F.col("half") == half).select("toxic", "text"), judge, "toxic int, counts array<bigint>")
 
-    found = stored(reduce(DataFrame.unionByName, [histograms(half) for half in judged]), "judged", few=True)
+    found = stored(reduce(DataFrame.unionByName, [histograms(half) for half in judged]), "judged", rows_per_batch=AT_ONCE, few=True)
     sums = {r["toxic"]: r for r in found.groupBy("toxic").agg(*[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(2 * SPREAD + 1)]).collect()}
     totals = [[0.5 + sums[t][f"c{k}"] for k in range(2 * SPREAD + 1)] for t in (0, 1)]
     for total in totals:  # differences that say little are one

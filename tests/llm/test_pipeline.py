@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import brute_components, brute_hits
@@ -108,3 +110,18 @@ def test_stages_on_odd_tables(spark, tmp_path, stage):
         assert ids == want[name]
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_worker_holds_few_rows_at_once(spark):
+    """Filters send texts alone, in small batches: a worker has no table of whole rows in memory."""
+    docs = spark.range(300).select("id", F.lit("a text").alias("text"), F.repeat(F.lit("x"), 1000).alias("more")).coalesce(1)
+
+    def alone(_, text):
+        frame, held = sys._getframe(), []
+        while frame:
+            held += [x.num_rows for x in frame.f_locals.values() if isinstance(x, pa.RecordBatch)]
+            frame = frame.f_back
+        return text == "a text" and max(held, default=0) <= 100
+
+    got = stages.keep_where(docs, None, alone)
+    assert got.columns == docs.columns and got.agg(F.count("*"), F.sum(F.length("more"))).first()[:] == (300, 300_000)

@@ -13,7 +13,6 @@ MOJIBAKE_NEWS = (("ΓÇô", "-"), ("ΓÇÖ", "'"), ("ΓÇ£", '"'), ("ΓÇ¥", '
 MOJIBAKE_RELEASE = (*MOJIBAKE_NEWS, ("╬ô├ç├û", "'"), ("╬ô├ç├┤", "-"), ("╬ô├ç┬ú", '"'), ("╬ô├ç┬Ñ", '"'))
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 ANCHOR_PHRASES = ("aggregate new vehicle sales", "total reported industry sales", "industry total", "total vehicle sales", "domestic new vehicle sales", "new vehicle sales")
-RELEASE_CHARS = 220_000
 
 
 def collapse(col: Column, repairs: tuple[tuple[str, str], ...] = MOJIBAKE_NEWS) -> Column:
@@ -24,8 +23,9 @@ def collapse(col: Column, repairs: tuple[tuple[str, str], ...] = MOJIBAKE_NEWS)
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-def release_text(col: Column) -> Column:
-    return F.substring(collapse(col, MOJIBAKE_RELEASE), 1, RELEASE_CHARS)
+def release_text(col: Column, most: int | None = None) -> Column:
+    whole = collapse(col, MOJIBAKE_RELEASE)
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def whole_number(col: Column) -> Column:

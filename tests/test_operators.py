@@ -72,6 +72,21 @@ def test_extraction_switches_and_frame(spark):
     assert [tuple(r) for r in got] == [(2024, 1, 41636), (None, None, None)]
 
 
+def test_headline_behind_a_long_text(spark):
+    text = "word " * 50_000 + "In January 2024 new vehicle sales totalled 41,636 units."
+    rows = spark.createDataFrame([(text, None, None)], "text string, tables array<array<array<string>>>, file_name string")
+    one = lambda limits: tuple(extract_totals(rows, limits).select("total_sales_units", "extraction_method").first())
+    assert one(Limits()) == (41636, "HEADLINE_REGEX")
+    assert one(Limits(head=50_000)) == (41636, "FALLBACK_SCAN") and one(Limits(chars=220_000)) == (None, "")
+
+
+@pytest.mark.parametrize("key", ["9c82e4685ca7e26784", "17728a3e3d77648d9b", "x1y26784"])
+def test_digits_of_a_key_are_no_total(key):
+    for text, want in ((f"password={key} a. Total vehicle sales 40,695 for the period", 40695), (f"Industry Total {key} 40,695", 40695), (f"New vehicle sales were {key} units", None)):
+        assert (monthly_total(text, "", Limits(), (None, None)).value, monthly_total(text, "", Limits(), (None, None)).warning) == (want, "")
+    assert monthly_total("Total vehicle sales to40,695units", "", Limits(), (None, None)).value == 40695  # glued words
+
+
 def test_best_by_month(spark):
     rows = [
         (2024, 1, "FALLBACK_SCAN", "low", "", 1, "a"), (2024, 1, "HEADLINE_REGEX", "medium", "", 1, "c"), (2024, 1, "HEADLINE_REGEX", "high", "", 1, "d"), (2024, 1, "HEADLINE_REGEX", "high", "", 1, "b"),
